@@ -1,0 +1,92 @@
+"""The words that names of people, teams and systems are made of, beside the distinctive one."""
+
+# Given names and their short forms.
+SHORT_FORMS = {
+    "alexander": "alex sasha alec xander",
+    "alexandra": "alex sandra",
+    "andrew": "andy drew",
+    "anthony": "tony",
+    "antonio": "nino toni",
+    "barbara": "barb babs",
+    "benjamin": "ben benny",
+    "charles": "charlie chuck",
+    "christina": "chris tina",
+    "christopher": "chris kit",
+    "daniel": "dan danny",
+    "david": "dave",
+    "dolores": "lola",
+    "dorothy": "dot dolly",
+    "edward": "ed ted eddie ned",
+    "eleanor": "ellie nell",
+    "elizabeth": "beth lisa liz betty",
+    "francesca": "fran franca",
+    "francisco": "fran paco",
+    "frederic": "fred",
+    "friedrich": "fritz",
+    "gabriela": "gabi",
+    "genevieve": "eve gen",
+    "giuseppe": "beppe",
+    "gregory": "greg",
+    "harold": "hal harry",
+    "henrietta": "hetty",
+    "ignacio": "nacho",
+    "james": "jim jimmy jamie",
+    "johannes": "hannes hans",
+    "jonathan": "jon jonny",
+    "joseph": "joe",
+    "josephine": "jo josie",
+    "katherine": "kate kathy",
+    "lawrence": "larry",
+    "ludovic": "ludo",
+    "margaret": "maggie meg peggy",
+    "matthias": "matze",
+    "maximilian": "max",
+    "michael": "mick mike",
+    "nicholas": "klaus nick",
+    "oliver": "ollie",
+    "patricia": "pat trish",
+    "peter": "pete",
+    "rebecca": "becky",
+    "richard": "dick rick",
+    "robert": "bob bobby rob",
+    "samantha": "sam",
+    "samuel": "sam",
+    "stephen": "steve",
+    "susanna": "sue susie",
+    "theodore": "ted theo",
+    "thomas": "tom tommy",
+    "veronika": "vroni",
+    "victoria": "tori vicky",
+    "william": "bill will",
+    "zachary": "zack",
+}
+# Fields of work and their abbreviations.
+FIELDS = {
+    "energy": "ene", "freight": "fre", "logistics": "log", "insurance": "ins", "storage": "sto",
+    "media": "med", "mapping": "map", "health": "hea", "analytics": "ana", "payments": "pay",
+}
+# Kinds of team and their abbreviations.
+TEAMS = {
+    "department": "dept", "systems": "sys", "services": "svcs", "laboratories": "labs", "associates": "assoc",
+    "engineering": "eng", "international": "intl", "technologies": "tech", "solutions": "soln",
+}
+# Legal forms and their abbreviations.
+LEGAL = {"incorporated": "inc", "limited": "ltd", "corporation": "corp", "company": "co"}
+# Kinds of system and their abbreviations.
+SYSTEMS = {
+    "database": "db", "gateway": "gw", "repository": "repo", "scheduler": "sched", "message queue": "mq",
+    "load balancer": "lb", "object cache": "obj cache", "configuration store": "config store",
+    "authentication server": "auth server", "event pipeline": "evt pipeline",
+}
+# Words that make a name that of a decision or incident about something.
+VERBS = ("adopt", "freeze", "pilot", "replace", "retire")
+EVENTS = ("data loss", "latency spike", "migration failure", "outage", "replication lag")
+# What may stand beside a person's name.
+TITLES = ("mr", "mrs", "ms", "dr", "prof")
+DEGREES = ("phd", "md", "msc", "dba", "sre", "jr", "sr")
+# Words of phrases that could mean anyone.
+VAGUE = (
+    "the this that these a an it we us they i you everyone everybody someone somebody nobody all none any other others "
+    "main core legacy old new current our their unknown tbd na n/a null nil team service services platform system "
+    "systems migration rehearsal decision desk group people project thing stuff app server database on call support"
+)
