@@ -105,7 +105,7 @@ def plan_windows(counts: np.ndarray, rounds: int = ROUNDS) -> Plan:
     def use(pairs: list[tuple[int, int]], n: int) -> None:
         for length, a in pairs:
             left[length] -= a * n
-        fillings.append(([length for length, a in sorted(pairs, reverse=True) for _ in range(a)], n))
+        fillings.append(([int(length) for length, a in sorted(pairs, reverse=True) for _ in range(a)], int(n)))
 
     if left.any():
         times, bound = fractional(counts.astype(float), rounds)
