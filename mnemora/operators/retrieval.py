@@ -35,8 +35,9 @@ def entry_points(representations: DataFrame, key: str, query: str) -> DataFrame:
     The score is the share of the query's tokens, repeats counting, found in the content.
     """
     asked = query_tokens(query)
-    score, hits = overlap(asked, F.col("__t"))
-    rows = representations.select(key, tokens(F.coalesce("content", F.lit(""))).alias("__t")).select(key, score.alias("score"), hits.alias("hits"))
+    # bound inside a transform, so that a content is split once and not once a token of the query
+    bound = F.transform(F.array(tokens(F.coalesce("content", F.lit("")))), lambda t: F.struct(*[c.alias(n) for c, n in zip(overlap(asked, t), ("score", "hits"), strict=True)]))
+    rows = representations.select(key, F.inline(bound))
     text = F.format_string("%s (score=%.2f): matched: %s", F.col(key).cast("string"), "score", F.array_join("hits", ", "))
     return rows.where(F.col("score") > 0).select(key, "score", F.array_join("hits", ", ").alias("matched"), text.alias("explanation")).orderBy(F.col("score").desc(), key)
 
