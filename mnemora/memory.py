@@ -297,13 +297,14 @@ class Memory:
         if context.limit(1).count() == 0:
             raise MemoryError_(f"Context not found: {context_id}")
         key = f"seg:{context_id}:{self.store.last_sequence() + 1}"
-        rows = segments.export_segments(context, self.store.table("memberships"), expires_in_days, F.lit(self.clock())).withColumn("id", F.lit(key)).withColumn("purpose", F.lit(purpose)).withColumn("created_at", F.lit(self.clock()))
+        held = self.store.table("memberships").where(F.col("context_id") == context_id)
+        rows = segments.with_lists(segments.export_segments(context, held, expires_in_days, F.lit(self.clock())), segments.members(held)).withColumn("id", F.lit(key)).withColumn("purpose", F.lit(purpose)).withColumn("created_at", F.lit(self.clock()))
         return self._write({"segments": rows}, "export", "segment", key, actor)
 
     def import_segment(self, segment: DataFrame | str, apply: bool = True, actor: str = "system") -> dict:
         rows = self.store.table("segments").where(F.col("id") == segment) if isinstance(segment, str) else segment
         held = {"object": self.store.table("objects"), "claim": self.store.table("claims"), "relationship": self.store.table("relationships"), "evidence": self.store.table("evidence")}
-        got = segments.check_import(rows, held, F.lit(self.clock()), apply).first()
+        got = segments.check_import(rows, segments.from_lists(rows), held, F.lit(self.clock()), apply).first()
         if got is None:
             raise KeyError("segment not found")
         if got["error"]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,10 +129,37 @@ def parse_answers(answers: DataFrame, key: str, body: str, style: str = "respons
     return claims.unionByName(side("relationships", "relationship", "sourceName", "relationType", "targetName", RELATIONS)).unionByName(wrong)
 
 
+def ask_model(texts: DataFrame, key: str, text: str, client: Callable[[str], str]) -> DataFrame:
+    """(key, body): what ``client`` answers to each text, one call a row where the row lies; a failed call gives the
+    error as an envelope, so that one text's failure is one row of ``parse_answers``. Null texts are not asked."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bodies = []
+            for t in b[text]:
+                try:
+                    bodies.append(client(t))
+                except Exception as x:  # noqa: BLE001
+                    bodies.append(json.dumps({"error": f"request failed: {x}"}))
+            yield pd.DataFrame({key: b[key], "body": bodies})
+
+    return texts.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, body string")
+
+
+def parse_embeddings(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, embedding, dimensions, error) of model answers holding ``embedding`` or ``embeddings[0]``."""
+    read = answers.select(key, F.from_json(body, "embedding array<double>, embeddings array<array<double>>").alias("x"))
+    vector = F.coalesce("x.embedding", F.get("x.embeddings", F.lit(0)))
+    staged = read.select(key, vector.alias("embedding"))
+    bad = F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda v: v.isNull())
+    return staged.select(key, F.when(~bad, F.col("embedding")).alias("embedding"), F.when(~bad, F.size("embedding")).alias("dimensions"), F.when(bad, F.lit("response has no embedding")).alias("error"))
+
+
 # Proposals, decisions, policies ------------------------------------------------------------------------------------
 
 
-def decide(candidates: DataFrame, claims_before: int | Column = 0) -> DataFrame:
+def decide(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
     """``candidates`` with verdict, reasoning and action.
 
     Takes ``type``, ``evidence_refs`` and ``ord``, the order in which proposals are handled. Without evidence a
@@ -139,17 +170,15 @@ def decide(candidates: DataFrame, claims_before: int | Column = 0) -> DataFrame:
     refs = F.coalesce(F.size(F.filter("evidence_refs", lambda r: r.isNotNull())), F.lit(0))
     staged = candidates.withColumn("refs", refs)
     claim = F.col("type") == "ClaimCandidate"
-    first = staged.where(claim & (F.col("refs") > 0)).agg(F.min("ord").alias("first_claim"))
-    held = F.lit(claims_before) if isinstance(claims_before, int) else claims_before
-    taken = (held > 0) | (F.col("ord") > F.col("first_claim"))
-    joined = staged.crossJoin(F.broadcast(first))  # one row
+    first = staged.where(claim & (F.col("refs") > 0)).agg(F.min("ord")).first()[0]
+    taken = F.lit(claims_before > 0) | F.coalesce(F.col("ord") > F.lit(first), F.lit(False))
     verdict = F.when(F.col("refs") == 0, F.lit("Reject")).when(F.col("refs") >= 2, F.lit("Accept")).when(claim & taken, F.lit("Escalate")).otherwise(F.lit("Accept"))
     reasons = (
         F.when(F.col("refs") == 0, F.lit("No evidence attached")).when(F.col("refs") >= 2, F.format_string("%d evidence refs", "refs"))
         .when(F.col("verdict") == "Escalate", F.lit("Single evidence with existing claims — needs review")).otherwise(F.lit("Single evidence, no conflicts"))
     )
     action = F.when(F.col("verdict") == "Accept", F.lit("Allow")).when(F.col("verdict") == "Escalate", F.lit("Quarantine")).otherwise(F.lit("Deny"))
-    return joined.withColumn("verdict", verdict).withColumn("reasoning", reasons).withColumn("action", action).drop("refs", "first_claim")
+    return staged.withColumn("verdict", verdict).withColumn("reasoning", reasons).withColumn("action", action).drop("refs")
 
 
 def outcome_counts(decided: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import bucket, embedding_tokens, first_quarter, first_words, overlap, query_tokens, tokens, words
@@ -134,8 +134,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
         out = near if out is None else out.unionByName(near)
     if out is None:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, similarity double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), key))), 1, k)
-    return out.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "r")).select("query_id", (F.col("at") + 1).alias("rank"), F.col(f"r.{key}").alias(key), (-F.col("r.s")).alias("similarity"))
+    # a rank up to k is limited in each task before the exchange
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity")
 
 
 def hash_embeddings(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:

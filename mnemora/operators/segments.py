@@ -9,21 +9,39 @@ LISTS = {"object": "included_objects", "claim": "included_claims", "relationship
 
 
 def export_segments(contexts: DataFrame, memberships: DataFrame, expires_in_days: int | None, now: Column) -> DataFrame:
-    """One segment a context: its members by type, in id order, with payload hash, signature, version and expiry.
+    """One segment a context: payload hash, signature, version and expiry; its members stay rows (``members``).
 
-    Gaps are left out. The hash covers the context and the numbers of objects and claims only; 0 days or none given
-    means it never expires.
+    The hash covers the context and the numbers of objects and claims only, so members are counted, not gathered; 0
+    days or none given means it never expires.
     """
-    lists = [F.array_sort(F.collect_list(F.when(F.col("member_type") == kind, F.col("member_id")))).alias(name) for kind, name in LISTS.items()]
-    members = memberships.groupBy("context_id").agg(*lists)
-    rows = contexts.select(F.col("id").alias("root_context"), "sensitivity").join(members, F.col("root_context") == F.col("context_id"), "left").drop("context_id")
-    for name in LISTS.values():
-        rows = rows.withColumn(name, F.coalesce(F.col(name), F.array().cast("array<string>")))
-    hashed = rows.withColumn("payload_hash", F.concat_ws(":", "root_context", F.size("included_objects").cast("string"), F.size("included_claims").cast("string")))
+    counts = memberships.groupBy("context_id").agg(*[F.count_if(F.col("member_type") == kind).cast("string").alias(kind) for kind in ("object", "claim")])
+    rows = contexts.select(F.col("id").alias("root_context"), "sensitivity").join(counts, F.col("root_context") == F.col("context_id"), "left")
+    hashed = rows.select("root_context", "sensitivity", F.concat_ws(":", "root_context", F.coalesce("object", F.lit("0")), F.coalesce("claim", F.lit("0"))).alias("payload_hash"))
     expiry = now + F.make_dt_interval(F.lit(expires_in_days)) if expires_in_days else F.lit(None).cast("timestamp")
     return hashed.withColumn("signature", sign(F.col("payload_hash"))).withColumn("version", F.lit(1)).withColumn("expires_at", expiry)
 
 
+def members(memberships: DataFrame) -> DataFrame:
+    """(root_context, member_type, member_id) of what segments hold; gaps are left out."""
+    return memberships.where(F.col("member_type").isin(*LISTS)).select(F.col("context_id").alias("root_context"), "member_type", "member_id")
+
+
+def with_lists(segments: DataFrame, held: DataFrame) -> DataFrame:
+    """Segments with their members as arrays in id order, as one stored row each; for single segments."""
+    lists = [F.array_sort(F.collect_list(F.when(F.col("member_type") == kind, F.col("member_id")))).alias(name) for kind, name in LISTS.items()]
+    joined = segments.join(held.groupBy("root_context").agg(*lists), "root_context", "left")
+    return joined.withColumns({name: F.coalesce(F.col(name), F.array().cast("array<string>")) for name in LISTS.values()})
+
+
+def from_lists(segments: DataFrame) -> DataFrame:
+    """``members`` of segments that carry arrays."""
+    flat = None
+    for kind, name in LISTS.items():
+        one = segments.select("root_context", F.lit(kind).alias("member_type"), F.explode(name).alias("member_id"))
+        flat = one if flat is None else flat.unionByName(one)
+    return flat
+
+
 def sign(payload_hash: Column) -> Column:
     return F.concat(F.lit("sig:"), payload_hash)
 
@@ -33,21 +51,21 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def check_import(segments: DataFrame, held: dict[str, DataFrame], now: Column, apply: bool = True) -> DataFrame:
-    """``segments`` with verified, applied and error.
+def check_import(segments: DataFrame, contents: DataFrame, held: dict[str, DataFrame], now: Column, apply: bool = True) -> DataFrame:
+    """``segments`` with verified, applied and error; ``contents`` are their ``members``.
 
-    A wrong signature verifies and applies nothing; an expired segment is an error; with ``apply`` the first member, in
-    the order objects, claims, relationships, evidence, that isn't held is one too. Contexts are not looked up.
+    A wrong signature verifies and applies nothing; an expired segment is an error; with ``apply`` the first member, by
+    type (objects, claims, relationships, evidence) and id, that isn't held is one too. Contexts are not looked up.
     """
     staged = segments.withColumn("verified", F.col("signature") == sign(F.col("payload_hash"))).withColumn("__expired", F.coalesce(F.col("expires_at") < now, F.lit(False)))
     staged = staged.withColumn("__missing", F.lit(None).cast("string"))
     if apply:
         each = None
         for order, kind in enumerate(("object", "claim", "relationship", "evidence")):
-            one = segments.select("root_context", F.lit(order).alias("o"), F.lit(kind).alias("kind"), F.posexplode(LISTS[kind]).alias("at", "id"))
-            gone = one.join(held[kind].select("id"), "id", "left_anti")
+            one = contents.where(F.col("member_type") == kind).select("root_context", F.lit(order).alias("o"), F.col("member_id").alias("id"), F.lit(kind).alias("kind"))
+            gone = one.join(held[kind].select("id"), "id", "left_anti").select("root_context", "o", "id", "kind")
             each = gone if each is None else each.unionByName(gone)
-        first = each.groupBy("root_context").agg(F.min(F.struct("o", "at", "kind", "id")).alias("m")).select("root_context", F.concat(F.lit("Import: "), "m.kind", F.lit(" not found locally: "), "m.id").alias("__gone"))
+        first = each.groupBy("root_context").agg(F.min(F.struct("o", "id", "kind")).alias("m")).select("root_context", F.concat(F.lit("Import: "), "m.kind", F.lit(" not found locally: "), "m.id").alias("__gone"))
         staged = staged.join(first, "root_context", "left").withColumn("__missing", F.col("__gone")).drop("__gone")
     error = F.when(F.col("verified") & F.col("__expired"), F.concat(F.lit("Segment expired: "), "root_context")).when(F.col("verified"), F.col("__missing"))
     return staged.withColumn("error", error).withColumn("applied", F.lit(apply) & F.col("verified") & F.col("error").isNull()).drop("__expired", "__missing")

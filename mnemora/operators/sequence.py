@@ -1,7 +1,10 @@
-"""Gapless numbering without a single-task window."""
+"""Numbering, and looking at the row before, without gathering a group in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,35 @@ def numbered(rows: DataFrame, order: list[str], column: str, start: int = 1) ->
         before += n
     offsets = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(start).cast("long"))
     return placed.withColumn(column, F.element_at(offsets, pid.cast("int")) + nth).drop("__at")
+
+
+def lagged(rows: DataFrame, group: list[str], order: list[str], column: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: ``column`` of the row before in the same group, null for a group's first.
+
+    A group may span partitions: rows are ranged by group and order, and each partition starts from the last row of the
+    one before it, of which one a partition comes to the driver. Groups and order must not hold nulls.
+    """
+    keys = [*group, *order]
+    ranged = cut(rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id()))
+    ends = ranged.groupBy("__pid").agg(F.max(F.struct(*keys, F.col(column).alias("__value"))).alias("v")).select("__pid", *[F.col(f"v.{g}").alias(g) for g in group], "v.__value").collect()
+    before, last = {}, None
+    for r in sorted(ends, key=lambda r: r["__pid"]):
+        before[r["__pid"]] = last
+        last = (tuple(r[g] for g in group), r["__value"])
+
+    def look_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, begun = None, False
+        for b in batches:
+            if not len(b):
+                continue
+            if not begun:
+                held, begun = before[int(b["__pid"].iloc[0])], True
+            of = list(zip(*[b[g] for g in group], strict=True))
+            values = list(b[column])
+            shifted = [v if k0 == k else None for (k0, v), k in zip([held or (None, None), *zip(of[:-1], values[:-1], strict=True)], of, strict=True)]
+            held = (of[-1], values[-1])
+            yield b.drop(columns="__pid").assign(**{out: pd.Series(shifted, index=b.index, dtype=object)})
+
+    kind = ranged.schema[column].dataType.simpleString()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` {kind}"])
+    return ranged.mapInPandas(look_back, schema)

@@ -61,7 +61,7 @@ def ingest_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_delta(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d).where(F.col("text").isNotNull())
-    arriving = docs.select(_source().alias("source_id"), "external_id", F.sha2("text", 256).alias("content_hash"), "captured_at", "doc_id")
+    arriving = docs.select(_source().alias("source_id"), "external_id", F.sha2("text", 256).alias("content_hash"), F.coalesce("captured_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("captured_at"), "doc_id")
     return classify(arriving, ["captured_at", "doc_id"]).groupBy("source_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -353,12 +353,16 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_export(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("root_context", "payload_hash", "signature", F.array_join("included_objects", ",").alias("objects"), F.array_join("included_claims", ",").alias("claims"))
+    return _segments(spark, d).select("root_context", "payload_hash", "signature", "version")
+
+
+def segment_members(spark: SparkSession, d: str) -> DataFrame:
+    return segments.members(_memberships(spark, d))
 
 
 def segment_import_check(spark: SparkSession, d: str) -> DataFrame:
     held = {"object": _objects(spark, d), "claim": table(spark, d, "claims"), "relationship": table(spark, d, "relationships"), "evidence": table(spark, d, "evidence")}
-    out = segments.check_import(_segments(spark, d), held, F.current_timestamp())
+    out = segments.check_import(_segments(spark, d), segments.members(_memberships(spark, d)), held, F.current_timestamp())
     return out.select("root_context", "verified", "applied", F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -408,7 +412,7 @@ QUERIES = {
         extraction_name_lookup, llm_json_filter, essence_nl, essence_structured, entry_points, entry_points_inverted, compression_ratio,
         semantic_recall, hash_embeddings, cosine_topk, cosine_min_len, knowledge_claims, knowledge_relationships, knowledge_objects,
         object_relationships, claims_by_object, traverse_paths, multi_hop_paths, traverse_dfs, context_claims_gaps, gaps_by_type,
-        tenant_isolation, sensitivity_filter, acl_gate, agent_policy_gate, agent_context, segment_export, segment_import_check,
+        tenant_isolation, sensitivity_filter, acl_gate, agent_policy_gate, agent_context, segment_export, segment_members, segment_import_check,
         journal_since, journal_sequence, journal_apply, journal_renumbered, token_statistics, confidence_clamp,
     )
 }

@@ -99,7 +99,7 @@ SQL = {
     "ingest_evidence": f"""WITH t AS (SELECT sha256(text) AS content_hash, {_SRC} NOT IN {_in(UNTRUSTED)} AS trusted FROM documents WHERE text IS NOT NULL)
       SELECT 'ev:' || substr(content_hash, 1, 12) AS id, content_hash, CASE WHEN bool_or(trusted) THEN 'available' ELSE 'unavailable' END AS state, count(*) AS copies FROM t GROUP BY content_hash""",
     "ingest_delta": f"""WITH a AS (SELECT {_SRC} AS source_id, external_id, sha256(text) AS h, captured_at, doc_id FROM documents WHERE text IS NOT NULL),
-      l AS (SELECT *, lag(h) OVER (PARTITION BY source_id, external_id ORDER BY captured_at NULLS FIRST, doc_id) AS before FROM a)
+      l AS (SELECT *, lag(h) OVER (PARTITION BY source_id, external_id ORDER BY coalesce(captured_at, TIMESTAMP '1970-01-01'), doc_id) AS before FROM a)
       SELECT source_id, CASE WHEN external_id IS NULL OR before IS NULL THEN 'new' WHEN before = h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM l GROUP BY ALL""",
     "quarantine_by_trust": f"SELECT {_SRC} AS source_id, CASE WHEN {_SRC} IN {_in(UNTRUSTED)} THEN 'unavailable' ELSE 'available' END AS state, count(*) AS n, count(text) AS with_text FROM documents GROUP BY ALL",
     "evidence_admissibility": f"WITH {_V}, {_evidence_errors('claims')} SELECT * FROM errors",
@@ -183,9 +183,10 @@ SQL = {
         UNION SELECT 'claim', id FROM claims WHERE tenant_id = 'default' AND {_RANK} <= 1 UNION SELECT 'relationship', id FROM relationships WHERE tenant_id = 'default' AND {_RANK} <= 1),
       m AS (SELECT context_id, member_type, CASE WHEN member_type = 'object' THEN coalesce(canonical, member_id) ELSE member_id END AS member_id FROM mem LEFT JOIN aliases ON alias = member_id)
       SELECT context_id, m.member_type, member_id, count(*) AS n FROM m JOIN seen ON seen.member_type = m.member_type AND seen.id = member_id GROUP BY ALL""",
-    "segment_export": f"""WITH {_MEM}, {_CTX}, l AS (SELECT context_id, list_sort(list(member_id) FILTER (member_type = 'object')) AS o, list_sort(list(member_id) FILTER (member_type = 'claim')) AS c FROM mem GROUP BY context_id),
-      s AS (SELECT id AS root_context, coalesce(o, []) AS o, coalesce(c, []) AS c FROM ctx JOIN l ON context_id = id), h AS (SELECT *, concat_ws(':', root_context, len(o), len(c)) AS payload_hash FROM s)
-      SELECT root_context, payload_hash, 'sig:' || payload_hash AS signature, array_to_string(o, ',') AS objects, array_to_string(c, ',') AS claims FROM h""",
+    "segment_export": f"""WITH {_MEM}, {_CTX}, l AS (SELECT context_id, count(*) FILTER (member_type = 'object') AS o, count(*) FILTER (member_type = 'claim') AS c FROM mem GROUP BY context_id),
+      h AS (SELECT id AS root_context, concat_ws(':', id, o, c) AS payload_hash FROM ctx JOIN l ON context_id = id)
+      SELECT root_context, payload_hash, 'sig:' || payload_hash AS signature, CAST(1 AS INTEGER) AS version FROM h""",
+    "segment_members": f"WITH {_MEM} SELECT context_id AS root_context, member_type, member_id FROM mem WHERE member_type IN ('object', 'claim', 'relationship', 'context', 'evidence')",
     "segment_import_check": f"""WITH {_MEM}, {_CTX}, held AS (SELECT 'object' AS k, id FROM objects UNION SELECT 'claim', id FROM claims UNION SELECT 'relationship', id FROM relationships UNION SELECT 'evidence', id FROM evidence),
       gone AS (SELECT context_id, member_type, member_id, row_number() OVER (PARTITION BY context_id ORDER BY list_position(['object', 'claim', 'relationship', 'evidence'], member_type), member_id) AS r
         FROM mem WHERE member_type IN ('object', 'claim', 'relationship', 'evidence') AND NOT EXISTS (SELECT 1 FROM held WHERE k = member_type AND held.id = member_id))

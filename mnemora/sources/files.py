@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import content_id, slug
+from mnemora.operators.sequence import lagged
+from mnemora.session import cut
 
 # The endings of text files.
 ENDINGS = ("md", "txt", "markdown", "rst")
@@ -35,10 +37,7 @@ def classify(arriving: DataFrame, order: list[str]) -> DataFrame:
     A text is compared with the one before it, in ``order``, of the same item. Items without an external id are told
     apart by nothing and count as new.
     """
-    from pyspark.sql import Window
-
-    item = Window.partitionBy("source_id", "external_id").orderBy(*order)
-    named = arriving.where(F.col("external_id").isNotNull()).withColumn("before", F.lag("content_hash").over(item))
+    named = lagged(arriving.where(F.col("external_id").isNotNull()), ["source_id", "external_id"], order, "content_hash", "before")
     status = F.when(F.col("before").isNull(), F.lit("new")).when(F.col("before") == F.col("content_hash"), F.lit("unchanged")).otherwise(F.lit("changed"))
     nameless = arriving.where(F.col("external_id").isNull()).withColumn("status", F.lit("new"))
     return named.withColumn("status", status).drop("before").unionByName(nameless)
@@ -55,10 +54,8 @@ def ingest(files: DataFrame, source_name: str, trusted: bool, items: DataFrame,
     base = files.select("path", "external_id", "content", F.sha2("content", 256).alias("content_hash"), content_id("sv", F.col("content")).alias("version_id"), source.alias("source_id"))
     base = base.withColumn("item_id", F.concat(F.lit("item:"), "source_id", F.lit(":"), "external_id"))
     now = items.select(F.col("id").alias("item_id"), F.col("current_version_id").alias("held"))
-    from pyspark.sql import Window
-
-    step = Window.partitionBy("item_id").orderBy("path")
-    judged = base.join(now, "item_id", "left").withColumn("before", F.coalesce(F.lag("version_id").over(step), F.col("held")))
+    looked = lagged(base.drop("content"), ["item_id"], ["path"], "version_id", "last")
+    judged = cut(looked.join(now, "item_id", "left").withColumn("before", F.coalesce("last", "held")))
     status = F.when(F.col("before").isNull(), F.lit("new")).when(F.col("before") == F.col("version_id"), F.lit("unchanged")).otherwise(F.lit("changed"))
     judged = judged.withColumn("status", status)
     changed = judged.where(F.col("status") != "unchanged")
@@ -69,8 +66,10 @@ def ingest(files: DataFrame, source_name: str, trusted: bool, items: DataFrame,
     state = F.lit("available" if trusted else "unavailable")
     ids = fresh.select(F.concat(F.lit("ev:"), F.substring("v.content_hash", 1, 12)).alias("id"), F.col("version_id").alias("source_version_id"), "v.content_hash", state.alias("state"), F.lit(tenant).alias("tenant_id"), at.alias("created_at"))
     out_evidence = ids.join(evidence.select("id"), "id", "left_anti")
-    report = judged.agg(F.countDistinct(F.when(F.col("status") == "new", F.col("item_id"))).alias("items_ingested"), F.count_if(F.col("status") == "unchanged").alias("skipped"))
-    report = report.crossJoin(out_versions.agg(F.count("*").alias("versions_created"))).crossJoin(out_evidence.agg(F.count("*").alias("evidence_created"), F.count_if(F.col("state") == "unavailable").alias("quarantined")))
+    items_new, skipped = judged.agg(F.countDistinct(F.when(F.col("status") == "new", F.col("item_id"))), F.count_if(F.col("status") == "unchanged")).first()
+    made, shut = out_evidence.agg(F.count("*"), F.count_if(F.col("state") == "unavailable")).first()
+    counts = (items_new, skipped, out_versions.count(), made, shut)
+    report = files.sparkSession.createDataFrame([counts], "items_ingested long, skipped long, versions_created long, evidence_created long, quarantined long")
     return {"items": out_items, "versions": out_versions, "evidence": out_evidence, "report": report}
 
 

@@ -139,3 +139,13 @@ class Store:
         self.table(table).write.parquet(f"{self.folder}/tables/{table}/{batch}")
         self._publish(n, {**content, "batch": batch, "tables": {**content["tables"], table: [batch]}})
         return n
+
+    # Exchange with other stores --------------------------------------------------------------------------------
+
+    def export_json(self, table: str, folder: str) -> None:
+        """The current rows as JSON lines, arrays and structs as JSON."""
+        self.table(table).drop("_seq").write.json(folder)
+
+    def import_json(self, table: str, folder: str) -> int:
+        """Append rows from JSON lines; fields that are missing or of another type are null."""
+        return self.commit({table: self.spark.read.schema(TABLES[table]).json(folder)})

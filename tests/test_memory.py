@@ -206,15 +206,19 @@ def test_ingest(memory, tmp_path):
     assert sum(e["operation"] == "ingest" for e in memory.journal()) == 4
 
 
-def test_versions_and_conflicts(memory):
+def test_versions_and_conflicts(spark, memory, tmp_path):
     memory.create_object("a", "A")
     v = memory.store.version()
     memory.create_object("b", "B")
     assert memory.store.table("objects", v).count() == 1 and memory.store.table("objects").count() == 2
     with pytest.raises(Conflict):
         memory.store._publish(v, {"batch": "x"})
+    memory.store.export_json("objects", str(tmp_path / "json"))
     memory.store.compact("objects")
     assert memory.store.table("objects").count() == 2 and memory.store.table("objects", v).count() == 1
+    other = Memory(spark, str(tmp_path / "copy"))
+    other.store.import_json("objects", str(tmp_path / "json"))
+    assert other.get("objects", "obj:a")["aliases"] == []
 
 
 def test_replication(spark, memory, tmp_path):

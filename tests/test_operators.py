@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text
 from mnemora.operators import access, extraction, graph, identity, mutations, retrieval
-from mnemora.operators.sequence import numbered
+from mnemora.operators.sequence import lagged, numbered
 from mnemora.sources.files import classify, evidence_of
 
 
@@ -170,3 +170,25 @@ def test_merges_in_one_batch(spark):
     batch = spark.createDataFrame([(1, "a", "b"), (2, "a", "m"), (3, "m", "b"), (4, "b", "b"), (5, "z", "b"), (6, "b", "z")], "ord int, from_id string, into_id string")
     out = mutations.merge_objects(batch, objects, none)
     assert [r["ord"] for r in out.accepted.collect()] == [1] and {r["ord"] for r in out.rejected.collect()} == {2, 3, 4, 5, 6}
+
+
+def test_asking_models(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "k long, t string")
+
+    def client(t):
+        if t == "bad":
+            raise OSError("down")
+        return '{"embedding": [1.0, 2.0]}'
+
+    got = {r["k"]: r for r in extraction.parse_embeddings(extraction.ask_model(df, "k", "t", client), "k", "body").collect()}
+    assert got[1]["embedding"] == [1.0, 2.0] and got[1]["dimensions"] == 2 and got[2]["error"] and 3 not in got
+    shapes = spark.createDataFrame([(1, '{"embeddings": [[3.0]]}'), (2, '{"embedding": "x"}'), (3, "{"), (4, '{"embeddings": []}'), (5, None)], "k long, body string")
+    got = {r["k"]: r["embedding"] for r in extraction.parse_embeddings(shapes, "k", "body").collect()}
+    assert got == {1: [3.0], 2: None, 3: None, 4: None, 5: None}
+
+
+def test_lag_across_partitions(spark):
+    df = spark.range(2000).select(F.lit("hot").alias("g"), (F.col("id") * 3).alias("o"), (F.col("id") * 10).alias("v")).union(spark.createDataFrame([("cold", 5, 1)], "g string, o long, v long"))
+    got = {(r["g"], r["o"]): r["b"] for r in lagged(df, ["g"], ["o"], "v", "b").collect()}
+    assert len(got) == 2001 and got["cold", 5] is None and got["hot", 0] is None and all(got["hot", 3 * i] == 10 * (i - 1) for i in range(1, 2000))
+    assert lagged(df.where("false"), ["g"], ["o"], "v", "b").count() == 0
