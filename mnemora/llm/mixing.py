@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.tokens import TOKENIZER, token_counts
@@ -120,6 +120,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None
     given = taken.groupBy("source_name").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     goal = spark.createDataFrame([(n, s.target, s.repeats) for n, s in plan.items()], "source_name string, target_share double, max_repeats int")
     beside = goal.join(given, "source_name", "left").fillna(0, ["documents", "tokens", "most_copies"])
-    whole = given.agg(F.sum("tokens").alias("whole"))
-    shares = beside.crossJoin(F.broadcast(whole)).select("source_name", "target_share", "max_repeats", "documents", "tokens", "most_copies", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+    # one row a source of the targets, so the window over all of them is small
+    whole = F.sum("tokens").over(Window.partitionBy())
+    actual = F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))
+    shares = beside.select("source_name", "target_share", "max_repeats", "documents", "tokens", "most_copies", actual.alias("actual_share"))
     return taken, shares

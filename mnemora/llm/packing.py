@@ -23,6 +23,8 @@ from mnemora.session import cut
 CAPACITY = 2_048
 #: Knapsack pricings of the linear program at most; each costs some 10 ms at a capacity of 2,048.
 ROUNDS = 600
+#: By how much a token of the longest piece is dearer at first than one of the shortest.
+DEARER = 0.2
 
 
 def best_filling(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -64,8 +66,9 @@ def fractional(counts: np.ndarray, rounds: int = ROUNDS, step: float = 0.5) -> t
     for _ in range(rounds):
         share = covered[there] / counts[there]
         worth = np.full(capacity + 1, -np.inf)
-        # a length's price: its tokens, times a weight that falls as it is covered
-        worth[there] = there * np.exp(-step * (share - share.min()))
+        # a length's price: its tokens, long ones a little dearer as harder to place, times a weight that falls as it
+        # is covered
+        worth[there] = there * (1 + DEARER * there / capacity) * np.exp(-step * (share - share.min()))
         chosen, value = best_filling(worth, capacity)
         bound = max(bound, float((worth[there] * counts[there]).sum()) / value)
         ls, a = np.unique(chosen, return_counts=True)
@@ -113,7 +116,10 @@ def plan_windows(counts: np.ndarray, rounds: int = ROUNDS) -> Plan:
         for key, t in times.items():
             for length, a in key:
                 cover[length] += a * t
-        for key, t in sorted(times.items(), key=lambda x: -x[1]):
+        # by complementary slackness an optimum uses no filling with more room to spare than the bound has on average
+        spare = capacity - float((np.arange(capacity + 1) * counts).sum()) / bound + 0.002 * capacity
+        good = {k: t for k, t in times.items() if capacity - sum(length * a for length, a in k) <= spare}
+        for key, t in sorted(good.items(), key=lambda x: -x[1]):
             # each length is covered more often than needed; a filling counts as much as its most-needed length
             scale = max(counts[length] / cover[length] for length, _ in key)
             n = min(int(t * scale), *(left[length] // a for length, a in key))
