@@ -155,6 +155,41 @@ class Memory:
             raise MemoryError_(wrong[0]["error"])
         return self._write({"evidence": out.accepted}, "mark_unavailable", "evidence", evidence_id, actor)
 
+    # Proposals -------------------------------------------------------------------------------------------------
+
+    def propose(self, type: str, payload: dict, evidence_refs: list[str] | None = None, extractor: str = "manual", extractor_version: str = "1", actor: str = "system") -> str:
+        """A candidate; its evidence, if it names any, must be held and available."""
+        refs = evidence_refs or []
+        wrong = mutations.evidence_errors(self._row("k INT; refs ARRAY<STRING>", k=0, refs=refs), "k", "refs", self.store.table("evidence")).collect()
+        if wrong:
+            raise MemoryError_(wrong[0]["error"])
+        key = f"cand:{type}:{self.store.last_sequence() + 1}"
+        row = self.spark.createDataFrame([(key, type, json.dumps(payload), refs, extractor, extractor_version, self.clock())], TABLES["candidates"])
+        return self._write({"candidates": row}, "propose", "candidate", key, actor)
+
+    def decide(self, candidate_id: str, actor: str = "system") -> dict:
+        """The verdict on a candidate, given once."""
+        c = self.store.get("candidates", candidate_id)
+        if self.store.table("decisions").where(F.col("candidate_ref") == candidate_id).limit(1).count():
+            raise MemoryError_(f"Candidate already decided: {candidate_id}")
+        batch = self._row("ord INT; type STRING; evidence_refs ARRAY<STRING>", ord=0, type=c["type"], evidence_refs=c["evidence_refs"])
+        got = extraction.decide(batch, self.store.table("claims").count()).first()
+        key = f"dec:{candidate_id}"
+        row = self.spark.createDataFrame([(key, candidate_id, got["verdict"], got["reasoning"], "deterministic", self.clock())], TABLES["decisions"])
+        self._write({"decisions": row}, "decide", "decision", key, actor)
+        return {"id": key, "verdict": got["verdict"], "reasoning": got["reasoning"]}
+
+    def apply_policy(self, decision_id: str, actor: str = "system") -> dict:
+        """What follows from a decision, given once; the memory itself is not changed by it."""
+        d = self.store.get("decisions", decision_id)
+        if self.store.table("policies").where(F.col("decision_ref") == decision_id).limit(1).count():
+            raise MemoryError_(f"Decision already policy-applied: {decision_id}")
+        action = {"Accept": "Allow", "Escalate": "Quarantine"}.get(d["verdict"], "Deny")
+        key = f"pol:{decision_id}"
+        row = self.spark.createDataFrame([(key, decision_id, action, None, self.clock())], TABLES["policies"])
+        self._write({"policies": row}, "apply_policy", "policy", key, actor)
+        return {"id": key, "action": action}
+
     # Texts -----------------------------------------------------------------------------------------------------
 
     def ingest(self, folder: str, source_name: str, trusted: bool = True, tenant_id: str = "default", actor: str = "system") -> dict:

@@ -57,6 +57,9 @@ ROUTES: list[tuple[str, str, Callable]] = [
     ("POST", "/relationships", lambda m, b: {"id": m.create_relationship(**b)}),
     ("POST", "/contexts", lambda m, b: {"id": m.create_context(**b)}),
     ("POST", "/contexts/([^/]+)/memberships", lambda m, b, i: {"id": _member(m, b, i)}),
+    ("POST", "/candidates", lambda m, b: {"id": m.propose(**b)}),
+    ("POST", "/candidates/([^/]+)/decide", lambda m, b, i: m.decide(i, **b)),
+    ("POST", "/decisions/([^/]+)/apply-policy", lambda m, b, i: m.apply_policy(i, **b)),
     ("POST", "/extract", lambda m, b: m.extract(**b)),
     ("POST", "/segments/export", lambda m, b: {"id": m.export_segment(**b)}),
     ("POST", "/segments/import", lambda m, b: m.import_segment(**b)),

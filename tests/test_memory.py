@@ -172,6 +172,25 @@ def test_segments(filled):
     assert filled.get("segments", filled.export_segment(ctx, expires_in_days=0))["expires_at"] is None
 
 
+@pytest.mark.parametrize(
+    ("refs", "kind", "verdict", "action"),
+    [(["ev:e1", "ev:e2"], "ClaimCandidate", "Accept", "Allow"), ([], "ClaimCandidate", "Reject", "Deny"), (["ev:e1"], "ClaimCandidate", "Escalate", "Quarantine"), (["ev:e1"], "RelationshipCandidate", "Accept", "Allow")],
+)
+def test_proposals(filled, refs, kind, verdict, action):
+    c = filled.propose(kind, {"x": 1}, refs)
+    d = filled.decide(c)
+    assert d["verdict"] == verdict
+    assert filled.apply_policy(d["id"])["action"] == action
+    with pytest.raises(MemoryError_, match="already decided"):
+        filled.decide(c)
+    with pytest.raises(MemoryError_, match="already policy-applied"):
+        filled.apply_policy(d["id"])
+    with pytest.raises(MemoryError_, match="Unknown evidence"):
+        filled.propose(kind, {}, ["ev:none"])
+    with pytest.raises(KeyError):
+        filled.decide("cand:none")
+
+
 def test_extraction(memory):
     text = "We chose PostgreSQL as primary store.\nThe outage caused by bad config.\nADR-2 supersedes ADR-1."
     memory.create_evidence("ev:a")
