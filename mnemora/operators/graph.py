@@ -42,17 +42,33 @@ def incident(relationships: DataFrame, objects: DataFrame) -> DataFrame:
     return out.unionByName(into).join(known, "id", "left_semi")
 
 
-def simple_paths(found: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def steps_to(found: DataFrame, end: str, depth: int) -> DataFrame:
+    """(id, away): the fewest edges from each node to ``end``, of those at most ``depth`` away."""
+    reached = found.sparkSession.createDataFrame([(end, 0)], "id string, away int")
+    frontier, seen = reached, reached
+    for n in range(1, depth + 1):
+        before = found.join(frontier.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
+        frontier = cut(before.join(seen, "id", "left_anti").withColumn("away", F.lit(n)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def simple_paths(found: DataFrame, starts: DataFrame, depth: int, end: str | None = None) -> DataFrame:
     """(start, nodes, edge_ids, hops, score) of every path without a repeated node, up to ``depth`` edges.
 
     One equi-join a step from the frontier of paths, so only what is reached is read from the edges; a frontier is
     materialised before the next step. The score is the product of the edges' confidences, each between 0 and 1.
+    With ``end``, paths that can't arrive there in the steps left are dropped.
     """
     frontier = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.lit(1.0).alias("score"), F.col("id").alias("at"))
     out = None
     step = found.select(F.col("source").alias("at"), "target", "edge_id", clamp(F.col("confidence")).alias("p"))
+    if end is not None:
+        step = cut(step.join(steps_to(found, end, depth - 1).withColumnRenamed("id", "target"), "target"))
     for hop in range(1, depth + 1):
         grown = frontier.join(step, "at").where(~F.array_contains("nodes", F.col("target")))
+        if end is not None:
+            grown = grown.where(F.col("away") <= depth - hop)
         frontier = cut(grown.select("start", F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), (F.col("score") * F.col("p")).alias("score"), F.col("target").alias("at")))
         paths = frontier.select("start", "nodes", "edge_ids", F.lit(hop).alias("hops"), "score")
         out = paths if out is None else out.unionByName(paths)
@@ -66,8 +82,8 @@ def paths_between(found: DataFrame, start: str, end: str, depth: int = 4) -> Dat
     if start == end:
         return spark.createDataFrame([([start], [], 0, 1.0)], "nodes array<string>, edge_ids array<string>, hops int, score double")
     starts = spark.createDataFrame([(start,)], "id string")
-    ahead = found.where(F.col("source") != end)
-    return simple_paths(ahead, starts, depth).where(F.element_at("nodes", -1) == end).drop("start")
+    ahead = cut(found.where(F.col("source") != end))
+    return simple_paths(ahead, starts, depth, end).where(F.element_at("nodes", -1) == end).drop("start")
 
 
 def neighbourhood(found: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

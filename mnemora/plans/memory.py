@@ -288,10 +288,20 @@ def traverse_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_hop_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of three edges at most over every tenant's edges as recorded; ``multi_hop_paths_whole`` has the whole search."""
     found = graph.paths_between(graph.edges(table(spark, d, "relationships")), START, END, 3)
     return found.select(F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", "|").alias("edge_ids"), "hops", F.round("score", 6).alias("score"))
 
 
+def multi_hop_paths_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of up to four edges, as by default, of tenant ``default``, all ends followed through redirects."""
+    aliases = _aliases(spark, d)
+    stands = {r["alias"]: r["canonical"] for r in aliases.where(F.col("alias").isin(START, END)).collect()}
+    found = graph.resolved_edges(graph.edges(table(spark, d, "relationships"), "default"), aliases)
+    paths = graph.paths_between(found, stands.get(START, START), stands.get(END, END))
+    return paths.select(F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", "|").alias("edge_ids"), "hops", F.round("score", 6).alias("score"))
+
+
 def traverse_dfs(spark: SparkSession, d: str) -> DataFrame:
     starts = spark.createDataFrame([(START,)], "id string")
     found = graph.ordered_walk(graph.edges(table(spark, d, "relationships")), starts, 3)
@@ -411,7 +421,7 @@ QUERIES = {
         redirect_closure, identity_resolved_edges, regex_claims, regex_relationships, candidate_decision_policy, extraction_counters,
         extraction_name_lookup, llm_json_filter, essence_nl, essence_structured, entry_points, entry_points_inverted, compression_ratio,
         semantic_recall, hash_embeddings, cosine_topk, cosine_min_len, knowledge_claims, knowledge_relationships, knowledge_objects,
-        object_relationships, claims_by_object, traverse_paths, multi_hop_paths, traverse_dfs, context_claims_gaps, gaps_by_type,
+        object_relationships, claims_by_object, traverse_paths, multi_hop_paths, multi_hop_paths_whole, traverse_dfs, context_claims_gaps, gaps_by_type,
         tenant_isolation, sensitivity_filter, acl_gate, agent_policy_gate, agent_context, segment_export, segment_members, segment_import_check,
         journal_since, journal_sequence, journal_apply, journal_renumbered, token_statistics, confidence_clamp,
     )

@@ -68,6 +68,20 @@ p AS (
 SELECT array_to_string(nodes, '>') AS path, array_to_string(ids, '|') AS edge_ids, CAST(hops AS INTEGER) AS hops, round(score, 6) AS score FROM p WHERE hops > 0"""
 
 
+_WHOLE_PATHS = f"""{_WALK}{_ALIASES},
+stands AS (SELECT coalesce(max(canonical) FILTER (alias = '{START}'), '{START}') AS a, coalesce(max(canonical) FILTER (alias = '{END}'), '{END}') AS b FROM aliases),
+edges AS (SELECT id AS edge_id, coalesce(x.canonical, source_object) AS source, coalesce(y.canonical, target_object) AS target, confidence AS c FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_seq DESC) AS rn FROM relationships WHERE id IS NOT NULL)
+  LEFT JOIN aliases x ON x.alias = source_object LEFT JOIN aliases y ON y.alias = target_object
+  WHERE rn = 1 AND lifecycle_state = 'active' AND source_object IS NOT NULL AND target_object IS NOT NULL AND tenant_id = 'default'),
+p AS (
+  SELECT [a] AS nodes, CAST([] AS VARCHAR[]) AS ids, 0 AS hops, CAST(1 AS DOUBLE) AS score, b FROM stands
+  UNION ALL
+  SELECT list_append(nodes, target), list_append(ids, edge_id), hops + 1, score * CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE least(1, greatest(0, c)) END, b
+  FROM p JOIN edges ON source = nodes[-1] WHERE hops < 4 AND NOT list_contains(nodes, target) AND nodes[-1] <> b)
+SELECT array_to_string(nodes, '>') AS path, array_to_string(ids, '|') AS edge_ids, CAST(hops AS INTEGER) AS hops, round(score, 6) AS score FROM p WHERE nodes[-1] = b"""
+
+
 def _regex(patterns: dict[str, str], label: str, cast: str, a: str, b: str, empty: str, need_both: bool) -> str:
     def one(i: int, p: str) -> str:
         p = p.replace("'", "''")
@@ -168,6 +182,7 @@ SQL = {
       SELECT id, canonical, claims FROM s JOIN c ON c.subject_id = canonical""",
     "traverse_paths": _paths(""),
     "multi_hop_paths": _paths(f" AND nodes[-1] <> '{END}'") + f" AND nodes[-1] = '{END}'",
+    "multi_hop_paths_whole": _WHOLE_PATHS,
     "context_claims_gaps": f"""WITH {_O}, c AS (SELECT subject_id, count(DISTINCT row_seq) AS claims, count(DISTINCT predicate) AS predicates FROM claims WHERE tenant_id = 'default' GROUP BY subject_id)
       SELECT id, name, coalesce(claims, 0) AS claims, coalesce(predicates, 0) AS predicates FROM o LEFT JOIN c ON subject_id = id WHERE tenant_id = 'default'""",
     "gaps_by_type": "SELECT regexp_extract(entity_id, '^gap:([^:]*):', 1) AS gap_type, count(DISTINCT entity_id) AS gaps, count(*) AS events FROM journal WHERE entity_type = 'knowledge_gap' GROUP BY ALL",
