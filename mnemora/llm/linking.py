@@ -66,7 +66,7 @@ def similar_strings(strings: DataFrame, column: str, k: int = 1) -> DataFrame:
 
 
 def readings(names: DataFrame) -> DataFrame:
-    """(name, folded, kind, core, whole, asks, legal) of distinct ``name``; names that denote nobody are left out."""
+    """(name, folded, kind, core, whole, asks, legal, second, also) of distinct ``name``; names that denote nobody are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon()
@@ -75,10 +75,10 @@ def readings(names: DataFrame) -> DataFrame:
             for name in batch["name"]:
                 r = read(name, lexicon)
                 if r.kind in ("person", "team", "system", "other") and r.core:
-                    rows.append((name, fold(name).lower(), r.kind, r.core, r.whole, r.asks, r.legal))
-            yield pd.DataFrame(rows, columns=["name", "folded", "kind", "core", "whole", "asks", "legal"])
+                    rows.append((name, fold(name).lower(), r.kind, r.core, r.whole, r.asks, r.legal, r.second, r.also))
+            yield pd.DataFrame(rows, columns=["name", "folded", "kind", "core", "whole", "asks", "legal", "second", "also"])
 
-    return names.mapInPandas(run, "name string, folded string, kind string, core string, whole string, asks array<string>, legal string")
+    return names.mapInPandas(run, "name string, folded string, kind string, core string, whole string, asks array<string>, legal string, second string, also array<string>")
 
 
 def _answers(kind: Column, whole: Column, legal: Column) -> Column:
@@ -115,7 +115,11 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     said = cut(readings(distinct.select("name")))
     counted = distinct.join(said, "name")
 
-    near = similar_strings(said, "core").where(F.length("a") >= 5)
+    # names of unknown words meet by their sorted words, by how they are written together, and by what may be a last name
+    seconds = said.where(F.col("second") != "").select("core", "second").distinct()
+    lasts = said.select("kind", "core", "whole", F.explode("also").alias("also")).select("kind", "core", "whole", F.split_part("also", F.lit("|"), F.lit(1)).alias("last"), F.split_part("also", F.lit("|"), F.lit(2)).alias("ask")).distinct()
+    words = said.select("core").unionByName(seconds.select(F.col("second").alias("core"))).unionByName(lasts.select(F.col("last").alias("core")))
+    near = similar_strings(words, "core").where(F.length("a") >= 5)
     near = cut(near.select(F.col("a").alias("core"), F.col("b").alias("other"), F.lit(1).alias("edits")))
     around = near.unionByName(said.select("core").distinct().select("core", F.col("core").alias("other"), F.lit(0).alias("edits")))
 
@@ -124,7 +128,10 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     # what speaks for a distinctive word: names that have it, whatever else they say; then misspellings around it
     used = said.groupBy("core").agg(F.count("*").alias("names"))
     mine = full.select("kind", "core", "whole", "spellings", "times").join(used, "core")
-    meets = cut(mine.select("kind", "core", "whole").join(near.drop("edits"), "core").join(full.select("kind", F.col("core").alias("other"), "whole"), ["kind", "other", "whole"]))
+    meets = mine.select("kind", "core", "whole").join(near.drop("edits"), "core").join(full.select("kind", F.col("core").alias("other"), "whole"), ["kind", "other", "whole"])
+    written = near.select(F.col("core").alias("second"), F.col("other").alias("second2")).unionByName(seconds.select("second", F.col("second").alias("second2")).distinct())
+    alike = seconds.join(written, "second").join(seconds.select(F.col("core").alias("other"), F.col("second").alias("second2")), "second2").where(F.col("core") != F.col("other"))
+    meets = cut(meets.unionByName(alike.select(F.lit("other").alias("kind"), "other", F.lit("").alias("whole"), "core")).distinct())
     degree = meets.groupBy("kind", "core", "whole").agg(F.count("*").alias("degree"))
     weighed = cut(mine.join(degree, ["kind", "core", "whole"]).select("kind", "core", "whole", F.struct("names", "degree", "spellings", "times", "core").alias("own")))
     better = cut(
@@ -141,6 +148,8 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     whole_names = said.where(F.col("whole").isNotNull()).join(entities.select("kind", "core", "whole", "entity"), ["kind", "core", "whole"]).select("name", "folded", "entity")
     held = entities.where("of_object").select("entity").distinct()
     anchors = entities.join(held, "entity", "left_semi").select("kind", F.col("core").alias("other"), "legal", "entity", F.explode(_answers(F.col("kind"), F.col("whole"), F.col("legal"))).alias("ask"))
+    named_so = lasts.join(entities.select("kind", "core", "whole", "entity"), ["kind", "core", "whole"]).join(held, "entity", "left_semi")
+    anchors = anchors.unionByName(named_so.select(F.lit("person").alias("kind"), F.col("last").alias("other"), F.lit("").alias("legal"), "entity", "ask"))
     partial = said.where(F.col("whole").isNull())
     wanted = partial.select("name", "folded", "kind", "core", "legal", F.explode("asks").alias("ask"))
 

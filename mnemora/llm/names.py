@@ -26,6 +26,10 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+#: Roles of words that say something together with another one only.
+PARTS = {"system1", "system2", "event"}
+
+
 class Lexicon:
     """The fixed words by what they are: word -> set of (role, value)."""
 
@@ -53,18 +57,21 @@ class Lexicon:
         for w in W.DEGREES:
             self.add(w, "degree", w)
         self.near: dict[str, set[str]] = {}
-        for w in self.roles:
-            if len(w) >= 5 or w == "load":
+        for w, r in self.roles.items():
+            if len(w) >= 5 or {x for x, _ in r} & PARTS:
                 for v in edited(w):
                     self.near.setdefault(v, set()).add(w)
-        self.glued = sorted((w for w, r in self.roles.items() if len(w) >= 5 and {x for x, _ in r} & {"field", "system", "system1", "system2"}), key=len, reverse=True) + ["load"]
+        self.glued = sorted((w for w, r in self.roles.items() if len(w) >= 4 and {x for x, _ in r} & {"field", "system", "system1", "system2"}), key=len, reverse=True)
         self.vague = frozenset(W.VAGUE.split())
 
     def add(self, word: str, role: str, value: str) -> None:
         self.roles.setdefault(word, set()).add((role, value))
 
     def of(self, word: str) -> tuple[set[tuple[str, str]], bool]:
-        """Roles of a word, of the nearest fixed words one edit away if it is none itself; whether it is exact."""
+        """Roles of a word, of the nearest fixed words one edit away if it is none itself; whether it is exact.
+
+        Fixed words under five letters are near nothing, but parts of a phrase are: ``beside`` asks for the rest of it.
+        """
         if word in self.roles:
             return self.roles[word], True
         if len(word) < 3:
@@ -73,9 +80,25 @@ class Lexicon:
         for v in edited(word):
             for w in self.near.get(v, ()):
                 if one_edit(word, w):
-                    found |= self.roles[w]
+                    found |= self.roles[w] if len(w) >= 5 else {(f"{r}?", v) for r, v in self.roles[w] if r in PARTS}
         return found, False
 
+    def beside(self, words: list[str]) -> tuple[list[set[tuple[str, str]]], list[bool]]:
+        """``of`` each word; a misspelt short part of a phrase counts only next to an exact other word of that phrase."""
+        roles, exact = map(list, zip(*map(self.of, words), strict=True))
+        phrase = {"system1": 1, "system2": -1}
+        for i, found in enumerate(roles):
+            sure = {x for x in found if not x[0].endswith("?")}
+            for r, v in found - sure:
+                role = r[:-1]
+                ways = [phrase[role]] if role in phrase else [-1, 1]
+                others = [roles[i + k] for k in ways if 0 <= i + k < len(words) and exact[i + k]]
+                wanted = {"system1": "system2", "system2": "system1"}.get(role, role)
+                if any((wanted, v) in o for o in others):
+                    sure.add((role, v))
+            roles[i] = sure
+        return roles, [e or not x for e, x in zip(exact, roles, strict=True)]
+
     def split(self, word: str) -> list[str]:
         """A word with fixed words written onto its end, as ``stemmessagequeue``, taken apart."""
         if word in self.roles:
@@ -92,6 +115,8 @@ class Reading:
 
     ``whole``: the rest in full (a given name, a field and kind, a kind of system), None where shortened or left out.
     ``asks``: the ways to look the entity up, each as ``how:what``. ``legal``: legal form, empty if not written.
+    Of kind ``other``, ``core`` is the words in alphabetical order and ``second`` the name as written, without blanks;
+    ``also``: each ``last name|how:what`` that it answers to if it is a person's.
     """
 
     kind: str
@@ -100,6 +125,8 @@ class Reading:
     asks: list[str] = field(default_factory=list)
     legal: str = ""
     typos: int = 0
+    second: str = ""
+    also: list[str] = field(default_factory=list)
 
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
@@ -119,6 +146,7 @@ def _joined(parts: list[str], lexicon: Lexicon) -> bool:
 
     def fixed(p: str) -> bool:
         roles, exact = lexicon.of(p)
+        roles = {x for x in roles if not x[0].endswith("?")}
         return bool(roles) and (exact or len(parts) > 2 or len(p) > 6)
 
     return all(map(fixed, parts[1:])) or all(map(fixed, parts[:-1]))
@@ -152,7 +180,8 @@ def read(name: str | None, lexicon: Lexicon) -> Reading:
     words = [w for i, w in enumerate(words) if not (i == 0 and w == "the" and len(words) > 2)]
     if not words or all(w in lexicon.vague for w in words) or name.strip().lower() in lexicon.vague:
         return Reading("none")
-    found = _of_words(words, lexicon)
+    last, comma, rest = name.partition(",")
+    found = _of_words(words, lexicon, len(tokens(last, lexicon)) if comma and rest.strip() else 0)
     if found.kind == "other" and len(words) > 1:
         # a blank that slipped into a word: written together, the fixed words show where the others begin
         again = _of_words(lexicon.split("".join(words)), lexicon)
@@ -160,8 +189,9 @@ def read(name: str | None, lexicon: Lexicon) -> Reading:
     return found
 
 
-def _of_words(words: list[str], lexicon: Lexicon) -> Reading:
-    roles, exact = zip(*(lexicon.of(w) for w in words), strict=True)
+def _of_words(words: list[str], lexicon: Lexicon, comma: int = 0) -> Reading:
+    """``comma``: how many words stand before a comma, 0 without one."""
+    roles, exact = lexicon.beside(words)
     named = [{r for r, _ in x} for x in roles]
 
     def values(role: str) -> list[set[str]]:
@@ -175,15 +205,15 @@ def _of_words(words: list[str], lexicon: Lexicon) -> Reading:
     pairs = {v for i, x in enumerate(roles[:-1]) for r, v in x if r == "system1" for r2, v2 in roles[i + 1] if r2 == "system2" and v2 == v}
     systems = pairs | {v for x in roles for r, v in x if r == "system"}
     events = [e for e in W.EVENTS if all(any(v == e and r == "event" for r, v in x) for x in roles[-len(e.split()) :]) and len(words) > len(e.split())]
-    if len(stems) == 1 and len(systems) == 1 and not values("field"):
-        core, kind = words[stems[0]], next(iter(systems))
+    core = " ".join(words[i] for i in stems)
+    if stems and len(systems) == 1 and not values("field"):
+        kind = next(iter(systems))
         if events:
             return Reading("incident", core)
         if "verb" in named[0]:
             return Reading("decision", core)
         return Reading("system", core, kind, [f"is:{kind}"], typos=typos)
-    if len(stems) == 1 and (values("field") or values("team") or values("legal")) and not systems:
-        core = words[stems[0]]
+    if stems and (values("field") or values("team") or values("legal")) and not systems:
         fields, kinds, legal = values("field"), values("team"), values("legal")
         f = next(iter(fields[0])) if fields else ""
         k = next(iter(kinds[0])) if kinds else ""
@@ -203,11 +233,20 @@ def _of_words(words: list[str], lexicon: Lexicon) -> Reading:
             return Reading("team", core, None, [f"letters:{letters[0]} {letters[1]}"], form, typos)
         return Reading("team", core, None, [f"legal:{form}"], form, typos)
     given = [i for i, x in enumerate(named) if "given" in x]
-    if len(stems) == 1 and (given or initial) and not any(x & {"system", "system1", "system2", "field", "team"} for x in named):
-        core = words[stems[0]]
+    # an initial between two plain words is a middle one, beside them that of a given name
+    middle = len(stems) == 2 and all(stems[0] < i < stems[1] for i in initial)
+    letters = [i for i in initial if len(stems) == 1 or (words[i].isalpha() and not middle)]
+    if 1 <= len(stems) <= 2 and (given or letters) and not any(x & {"system", "system1", "system2", "field", "team", "verb", "event"} for x in named):
         if given:
             who = sorted({v for r, v in roles[given[0]] if r == "given"})
             return Reading("person", core, who[0] if len(who) == 1 else None, [f"is:{g}" for g in who], typos=typos)
         # the letter beside the last name: before it, or after it where the last name comes first
-        return Reading("person", core, None, [f"letter:{words[initial[0]]}"], typos=typos)
-    return Reading("other", " ".join(words), "", ["is:"], typos=typos)
+        return Reading("person", core, None, [f"letter:{words[letters[0]]}"], typos=typos)
+    said = [i for i, x in enumerate(named) if not x & {"title", "degree"} and not (middle and i in initial)]
+    also = []
+    if 2 <= len(stems) <= 3 and said == stems:
+        # unknown words in full: the given name comes first, or first after a comma
+        first = next((i for i in stems if i >= comma), stems[0])
+        also = [f"{' '.join(words[i] for i in stems if i != first)}|letter:{words[first][0]}"]
+    kept = [words[i] for i in said] or words
+    return Reading("other", " ".join(sorted(kept)), "", ["is:"], typos=typos, second="".join(kept), also=also)

@@ -3,6 +3,7 @@
 import itertools
 
 import __spark_entry__ as entry
+from mnemora.llm import linking
 from mnemora.operators import graph
 from mnemora.plans.memory import END, START
 
@@ -25,3 +26,17 @@ def test_dropping_hopeless_paths_loses_none(spark):
     got = graph.paths_between(found, "a", "g", 4).collect()
     assert len(want) == 3 and max(map(len, want)) == 5
     assert {tuple(r["nodes"]) for r in got} == want and len(got) == len(want)
+
+
+def link(spark, objects, mentions):
+    o = spark.createDataFrame([(f"obj:{i}", n, a, i) for i, (n, a) in enumerate(objects)], "id STRING, name STRING, aliases ARRAY<STRING>, updated_at INT")
+    x = spark.createDataFrame([(f"xc:{i}", n) for i, n in enumerate(mentions)], "mention_id STRING, subject_name STRING")
+    names = {f"obj:{i}": n for i, (n, _) in enumerate(objects)} | {f"xc:{i}": n for i, n in enumerate(mentions)}
+    return {(names[r["key_a"]], names[r["key_b"]]) for r in linking.linked_names(o, x).collect()}
+
+
+def test_names_of_unknown_words(spark):
+    objects = ["Grace Hopper", "Elizabeth Garcia Marquez", "Central Message Bus", "Foo Bar Load Balancer", "Ada Lord"]
+    same = {"Grace Hopper": ["Hopper, Grace", "Hopper Grace", "G. Hopper", "Grace B. Hopper", "Grace Hoper"], "Elizabeth Garcia Marquez": ["Garcia Marquez, Liz", "E. Garcia Marquez"], "Central Message Bus": ["centralmessagebus", "Bus, Central Message", "central_message_bus"], "Foo Bar Load Balancer": ["foo_bar_lb", "Foo Bar Lod Balancer"], "Ada Lord": ["Lord, Ada", "A. Lord"]}
+    others = ["Grace Lord", "A. Hopper", "Grace", "Hopper", "E. Garcia", "Central Bus", "Adopt Foo Bar Load Balancer"]
+    assert link(spark, [(n, None) for n in objects], [m for x in same.values() for m in x] + others) == {(n, m) for n, x in same.items() for m in x}
