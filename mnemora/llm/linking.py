@@ -104,8 +104,8 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
 
     ``objects``: (id, name, aliases), one row an object; ``mentions``: (name). A name's reading gives its class, its
     distinctive word and the rest. Names in full are entities; one whose distinctive word is one edit from that of a
-    better-attested one, all else equal, is a misspelling of it. Names with parts shortened or left out go to the one
-    entity that answers to what is written, over exact words first and over words one edit away otherwise; to none
+    better-attested one, all else equal, is a misspelling of it; one of under five letters only if there is a rest. Names with parts shortened or left out go to the one
+    entity that answers to what is written, over exact words first and over words of five letters or more one edit away otherwise; to none
     where several do. An alias that reads like no entity goes to the entity of the object bearing it.
     """
     named = objects.select("name", F.lit(True).alias("of_object"))
@@ -119,17 +119,18 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     seconds = said.where(F.col("second") != "").select("core", "second").distinct()
     lasts = said.select("kind", "core", "whole", F.explode("also").alias("also")).select("kind", "core", "whole", F.split_part("also", F.lit("|"), F.lit(1)).alias("last"), F.split_part("also", F.lit("|"), F.lit(2)).alias("ask")).distinct()
     words = said.select("core").unionByName(seconds.select(F.col("second").alias("core"))).unionByName(lasts.select(F.col("last").alias("core")))
-    near = similar_strings(words, "core").where(F.length("a") >= 5)
+    near = similar_strings(words, "core")
     near = cut(near.select(F.col("a").alias("core"), F.col("b").alias("other"), F.lit(1).alias("edits")))
-    around = near.unionByName(said.select("core").distinct().select("core", F.col("core").alias("other"), F.lit(0).alias("edits")))
+    # a word of under five letters is one edit from many: it is a misspelling only where the rest is there, and equal
+    around = near.where(F.length("core") >= 5).unionByName(said.select("core").distinct().select("core", F.col("core").alias("other"), F.lit(0).alias("edits")))
 
     full = counted.where(F.col("whole").isNotNull()).groupBy("kind", "core", "whole").agg(F.count("*").alias("spellings"), F.sum("times").alias("times"), F.max("legal").alias("legal"), F.max("of_object").alias("of_object"))
     full = cut(full)
     # what speaks for a distinctive word: names that have it, whatever else they say; then misspellings around it
     used = said.groupBy("core").agg(F.count("*").alias("names"))
     mine = full.select("kind", "core", "whole", "spellings", "times").join(used, "core")
-    meets = mine.select("kind", "core", "whole").join(near.drop("edits"), "core").join(full.select("kind", F.col("core").alias("other"), "whole"), ["kind", "other", "whole"])
-    written = near.select(F.col("core").alias("second"), F.col("other").alias("second2")).unionByName(seconds.select("second", F.col("second").alias("second2")).distinct())
+    meets = mine.select("kind", "core", "whole").join(near.drop("edits"), "core").join(full.select("kind", F.col("core").alias("other"), "whole"), ["kind", "other", "whole"]).where((F.length("core") >= 5) | (F.col("whole") != ""))
+    written = near.where(F.length("core") >= 5).select(F.col("core").alias("second"), F.col("other").alias("second2")).unionByName(seconds.select("second", F.col("second").alias("second2")).distinct())
     alike = seconds.join(written, "second").join(seconds.select(F.col("core").alias("other"), F.col("second").alias("second2")), "second2").where(F.col("core") != F.col("other"))
     meets = cut(meets.unionByName(alike.select(F.lit("other").alias("kind"), "other", F.lit("").alias("whole"), "core")).distinct())
     degree = meets.groupBy("kind", "core", "whole").agg(F.count("*").alias("degree"))

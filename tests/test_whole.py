@@ -40,3 +40,10 @@ def test_names_of_unknown_words(spark):
     same = {"Grace Hopper": ["Hopper, Grace", "Hopper Grace", "G. Hopper", "Grace B. Hopper", "Grace Hoper"], "Elizabeth Garcia Marquez": ["Garcia Marquez, Liz", "E. Garcia Marquez"], "Central Message Bus": ["centralmessagebus", "Bus, Central Message", "central_message_bus"], "Foo Bar Load Balancer": ["foo_bar_lb", "Foo Bar Lod Balancer"], "Ada Lord": ["Lord, Ada", "A. Lord"]}
     others = ["Grace Lord", "A. Hopper", "Grace", "Hopper", "E. Garcia", "Central Bus", "Adopt Foo Bar Load Balancer"]
     assert link(spark, [(n, None) for n in objects], [m for x in same.values() for m in x] + others) == {(n, m) for n, x in same.items() for m in x}
+
+
+def test_misspelt_short_words(spark):
+    objects = ["Daniel Ruiz", "Daniel Brown", "Zug Database", "Cobo", "Daniel Wolf"]
+    mentions = ["Daniel Riuz", "Dan Brwn", "Zgu DB", "Robert Riuz", "D. Wlof", "Zgu Gateway", "Cobb"]
+    got = link(spark, [(n, None) for n in objects], [*mentions, *objects])
+    assert got == {("Daniel Ruiz", "Daniel Riuz"), ("Daniel Brown", "Dan Brwn"), ("Zug Database", "Zgu DB")}
