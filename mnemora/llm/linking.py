@@ -105,7 +105,7 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     ``objects``: (id, name, aliases), one row an object; ``mentions``: (name). A name's reading gives its class, its
     distinctive word and the rest. Names in full are entities; one whose distinctive word is one edit from that of a
     better-attested one, all else equal, is a misspelling of it; one of under five letters only if there is a rest. Names with parts shortened or left out go to the one
-    entity that answers to what is written, over exact words first and over words of five letters or more one edit away otherwise; to none
+    entity that answers to what is written, of those that objects name in full first, else of the others, over exact words first and over words of five letters or more one edit away otherwise; to none
     where several do. An alias that reads like no entity goes to the entity of the object bearing it.
     """
     named = objects.select("name", F.lit(True).alias("of_object"))
@@ -147,21 +147,25 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     entities = cut(entities)
 
     whole_names = said.where(F.col("whole").isNotNull()).join(entities.select("kind", "core", "whole", "entity"), ["kind", "core", "whole"]).select("name", "folded", "entity")
-    held = entities.where("of_object").select("entity").distinct()
-    anchors = entities.join(held, "entity", "left_semi").select("kind", F.col("core").alias("other"), "legal", "entity", F.explode(_answers(F.col("kind"), F.col("whole"), F.col("legal"))).alias("ask"))
-    named_so = lasts.join(entities.select("kind", "core", "whole", "entity"), ["kind", "core", "whole"]).join(held, "entity", "left_semi")
-    anchors = anchors.unionByName(named_so.select(F.lit("person").alias("kind"), F.col("last").alias("other"), F.lit("").alias("legal"), "entity", "ask"))
+    held = entities.where("of_object").select("entity").distinct().withColumn("held", F.lit(True))
+    marked = entities.join(held, "entity", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    anchors = marked.select("kind", F.col("core").alias("other"), "legal", "entity", "held", F.explode(_answers(F.col("kind"), F.col("whole"), F.col("legal"))).alias("ask"))
+    named_so = lasts.join(marked.select("kind", "core", "whole", "entity", "held"), ["kind", "core", "whole"])
+    anchors = anchors.unionByName(named_so.select(F.lit("person").alias("kind"), F.col("last").alias("other"), F.lit("").alias("legal"), "entity", "held", "ask"))
     partial = said.where(F.col("whole").isNull())
-    wanted = partial.select("name", "folded", "kind", "core", "legal", F.explode("asks").alias("ask"))
+    asking = partial.select("name", "folded", "kind", "core", "legal", F.explode("asks").alias("ask"))
 
-    def answered(by: DataFrame) -> DataFrame:
+    def answered(wanted: DataFrame, by: DataFrame) -> DataFrame:
+        """(name, folded, entity) of those that anything answers to; a null entity where several do."""
         fits = (F.col("wl") == "") | (F.col("legal") == "") | (F.col("wl") == F.col("legal"))
         met = wanted.withColumnRenamed("legal", "wl").join(around, "core").join(by, ["kind", "other", "ask"]).where(fits)
         best = met.groupBy("name", "folded", "edits").agg(F.min("entity").alias("entity"), F.max("entity").alias("last"))
         nearest = best.groupBy("name", "folded").agg(F.min(F.struct("edits", "entity", "last")).alias("b"))
-        return nearest.where(F.col("b.entity") == F.col("b.last")).select("name", "folded", F.col("b.entity").alias("entity"))
+        return nearest.select("name", "folded", F.when(F.col("b.entity") == F.col("b.last"), F.col("b.entity")).alias("entity"))
 
-    shortened = cut(answered(anchors))
+    by_objects = cut(answered(asking, anchors.where("held")))
+    by_others = answered(asking.join(by_objects, "name", "left_anti"), anchors.where(~F.col("held")))
+    shortened = cut(by_objects.unionByName(by_others).where(F.col("entity").isNotNull()))
     alone = partial.join(shortened, "name", "left_anti").select("name", "folded", F.concat_ws("|", "kind", "core", F.array_join(F.array_sort("asks"), "/"), "legal").alias("entity"))
     plain = cut(whole_names.unionByName(shortened).unionByName(alone))
 
@@ -175,7 +179,7 @@ def resolved_names(objects: DataFrame, mentions: DataFrame) -> DataFrame:
     asked = said.join(moved.where("by_alias").select("name", "entity"), "name").select("kind", F.col("core").alias("other"), "legal", "entity", F.explode("asks").alias("ask")).distinct()
     unclaimed = plain.join(objects_of, "entity", "left_anti").join(moved.where("by_alias"), "name", "left_anti").select("name")
     wanted = said.join(unclaimed, "name", "left_semi").select("name", "folded", "kind", "core", "legal", F.explode("asks").alias("ask"))
-    found = cut(answered(asked))
+    found = cut(answered(wanted, asked).where(F.col("entity").isNotNull()))
     return moved.join(found.select("name", F.col("entity").alias("late")), "name", "left").select("name", F.coalesce("late", "entity").alias("entity"))
 
 

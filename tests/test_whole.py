@@ -47,3 +47,9 @@ def test_misspelt_short_words(spark):
     mentions = ["Daniel Riuz", "Dan Brwn", "Zgu DB", "Robert Riuz", "D. Wlof", "Zgu Gateway", "Cobb"]
     got = link(spark, [(n, None) for n in objects], [*mentions, *objects])
     assert got == {("Daniel Ruiz", "Daniel Riuz"), ("Daniel Brown", "Dan Brwn"), ("Zug Database", "Zgu DB")}
+
+
+def test_shortened_names_of_objects_named_in_full_by_mentions_only(spark):
+    objects = [("F. Dailemeawald", None), ("Stekoklorin Ltd", ["Old Zug Energy"]), ("Robert Zapairowick", None), ("R. Kloprenoupel", None)]
+    mentions = ["Francesca Dailemeawald", "Stekoklorin Energy Associates Ltd", "Richard Zapairowick", "R. Zapairowick", "Robert Kloprenoupel", "Richard Kloprenoupel"]
+    assert link(spark, objects, mentions) == {("F. Dailemeawald", "Francesca Dailemeawald"), ("Stekoklorin Ltd", "Stekoklorin Energy Associates Ltd"), ("Robert Zapairowick", "R. Zapairowick")}
