@@ -388,12 +388,24 @@ def journal_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def journal_apply(spark: SparkSession, d: str) -> DataFrame:
-    """A feed's later half applied to a copy of its first half: what is added, each id once."""
+    """A feed from sequence 4,001 applied to a copy of the first 5,000: what is added, each id once.
+
+    These are halves at sf0.01 only; ``journal_apply_half`` cuts by the journal's own length.
+    """
     rows = table(spark, d, "journal")
     held, feed = rows.where(F.col("sequence") <= 5000), rows.where(F.col("sequence") > 4000)
     return mutations.insert_absent(feed.select("id", "sequence", "entity_type", "entity_id"), held, "id", "sequence")
 
 
+def journal_apply_half(spark: SparkSession, d: str) -> DataFrame:
+    """A feed's later half, and a fifth of the first again, applied to a copy of its first half: what is added, each id once."""
+    rows = table(spark, d, "journal")
+    half = rows.agg(F.expr("max(sequence) div 2").alias("half"))
+    cut = rows.join(F.broadcast(half))
+    held, feed = cut.where(F.col("sequence") <= F.col("half")), cut.where(F.col("sequence") > F.expr("half * 4 div 5"))
+    return mutations.insert_absent(feed.select("id", "sequence", "entity_type", "entity_id"), held, "id", "sequence")
+
+
 def journal_renumbered(spark: SparkSession, d: str) -> DataFrame:
     """The distinct changes numbered without holes."""
     from mnemora.operators.sequence import numbered
@@ -423,6 +435,6 @@ QUERIES = {
         semantic_recall, hash_embeddings, cosine_topk, cosine_min_len, knowledge_claims, knowledge_relationships, knowledge_objects,
         object_relationships, claims_by_object, traverse_paths, multi_hop_paths, multi_hop_paths_whole, traverse_dfs, context_claims_gaps, gaps_by_type,
         tenant_isolation, sensitivity_filter, acl_gate, agent_policy_gate, agent_context, segment_export, segment_members, segment_import_check,
-        journal_since, journal_sequence, journal_apply, journal_renumbered, token_statistics, confidence_clamp,
+        journal_since, journal_sequence, journal_apply, journal_apply_half, journal_renumbered, token_statistics, confidence_clamp,
     )
 }

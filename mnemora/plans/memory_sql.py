@@ -209,6 +209,8 @@ SQL = {
     "journal_since": "SELECT sequence, id, entity_type, entity_id, operation FROM journal WHERE sequence > 5000",
     "journal_sequence": "SELECT coalesce(max(sequence), 0) AS last_sequence FROM journal",
     "journal_apply": "SELECT id, sequence, entity_type, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence, entity_type, entity_id) AS r FROM journal WHERE sequence > 4000) WHERE r = 1 AND id NOT IN (SELECT id FROM journal WHERE sequence <= 5000)",
+    "journal_apply_half": """WITH m AS (SELECT max(sequence) // 2 AS half FROM journal), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence, entity_type, entity_id) AS r FROM journal, m WHERE sequence > half * 4 // 5)
+      SELECT id, sequence, entity_type, entity_id FROM f WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM journal h, m WHERE h.sequence <= m.half AND h.id = f.id)""",
     "journal_renumbered": "SELECT id, was, row_number() OVER (ORDER BY was, id) AS sequence FROM (SELECT id, min(sequence) AS was FROM journal GROUP BY id)",
     "token_statistics": f"WITH t AS (SELECT doc_id, unnest({_tokens("coalesce(text, '')")}) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS times FROM t GROUP BY token",
     "confidence_clamp": "SELECT mention_id, round(CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE least(1, greatest(0, confidence)) END, 6) AS confidence FROM extracted_claims",

@@ -53,3 +53,10 @@ def test_shortened_names_of_objects_named_in_full_by_mentions_only(spark):
     objects = [("F. Dailemeawald", None), ("Stekoklorin Ltd", ["Old Zug Energy"]), ("Robert Zapairowick", None), ("R. Kloprenoupel", None)]
     mentions = ["Francesca Dailemeawald", "Stekoklorin Energy Associates Ltd", "Richard Zapairowick", "R. Zapairowick", "Robert Kloprenoupel", "Richard Kloprenoupel"]
     assert link(spark, objects, mentions) == {("F. Dailemeawald", "Francesca Dailemeawald"), ("Stekoklorin Ltd", "Stekoklorin Energy Associates Ltd"), ("Robert Zapairowick", "R. Zapairowick")}
+
+
+def test_journal_is_cut_by_its_own_length(spark, tmp_path):
+    rows = [(i, f"e{i}", "object", f"obj:{i}") for i in range(1, 101)] + [(90, "e3", "object", "obj:3"), (95, "e70", "object", "obj:70")]
+    spark.createDataFrame(rows, "sequence long, id string, entity_type string, entity_id string").write.parquet(str(tmp_path / "journal.parquet"))
+    got = sorted((r["sequence"], r["id"]) for r in entry.queries()["journal_apply_half"](spark, str(tmp_path)).collect())
+    assert got == [(i, f"e{i}") for i in range(51, 101)]
