@@ -122,6 +122,14 @@ def claim_create(spark: SparkSession, d: str) -> DataFrame:
     return out.rejected.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).unionByName(out.accepted.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("reason"), "n"))
 
 
+def claim_create_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim row proposed anew, as ``claim_create`` counts them: what is stored of it, or its error."""
+    batch = table(spark, d, "claims").select(F.col("row_seq").alias("ord"), "subject_id", "predicate", "object_or_value", "evidence_refs").dropDuplicates(["ord"])
+    out = mutations.create_facts(batch, "claim", _objects(spark, d), table(spark, d, "evidence"), _aliases(spark, d))
+    kept = ("ord", "id", "subject_id", "confidence", F.col("support_state.level").alias("support"), F.coalesce("support_state.evidence_count", F.lit(0)).alias("evidence_count"))
+    return out.accepted.select(*kept, F.lit("").alias("error")).unionByName(out.rejected.select(*kept, "error"))
+
+
 def relationship_create(spark: SparkSession, d: str) -> DataFrame:
     batch = table(spark, d, "relationships").select(F.col("row_seq").alias("ord"), "source_object", "relation_type", "target_object", "evidence_refs").dropDuplicates(["ord"])
     out = mutations.create_facts(batch, "rel", _objects(spark, d), table(spark, d, "evidence"), _aliases(spark, d))
@@ -429,7 +437,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_evidence, ingest_delta, quarantine_by_trust, evidence_admissibility, object_upsert, object_rejected, claim_upsert_last_wins,
-        claim_upsert_keep_first, provenance_fanout, claim_create, relationship_create, membership_add, memberships_effective, merge_objects,
+        claim_upsert_keep_first, provenance_fanout, claim_create, claim_create_rows, relationship_create, membership_add, memberships_effective, merge_objects,
         redirect_closure, identity_resolved_edges, regex_claims, regex_relationships, candidate_decision_policy, extraction_counters,
         extraction_name_lookup, llm_json_filter, essence_nl, essence_structured, entry_points, entry_points_inverted, compression_ratio,
         semantic_recall, hash_embeddings, cosine_topk, cosine_min_len, knowledge_claims, knowledge_relationships, knowledge_objects,

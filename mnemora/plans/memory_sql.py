@@ -129,6 +129,11 @@ SQL = {
       b AS (SELECT DISTINCT row_seq, subject_id, evidence_refs FROM claims),
       j AS (SELECT b.*, e.error, o.id AS known FROM b LEFT JOIN aliases ON alias = subject_id LEFT JOIN (SELECT DISTINCT id FROM objects) o ON o.id = coalesce(canonical, subject_id) LEFT JOIN errors e ON e.row_seq = b.row_seq)
       SELECT CASE WHEN error IS NOT NULL THEN split_part(error, ':', 1) WHEN known IS NULL THEN 'Subject object not found' WHEN coalesce(len(evidence_refs), 0) = 0 THEN 'M1 violated' ELSE 'accepted' END AS reason, count(*) AS n FROM j GROUP BY ALL""",
+    "claim_create_rows": f"""{_WALK}{_ALIASES}, {_V}, {_evidence_errors('claims')},
+      b AS (SELECT DISTINCT row_seq, subject_id, predicate, evidence_refs FROM claims),
+      j AS (SELECT b.*, coalesce(canonical, subject_id) AS s, e.error AS bad, o.id AS known FROM b LEFT JOIN aliases ON alias = subject_id LEFT JOIN (SELECT DISTINCT id FROM objects) o ON o.id = coalesce(canonical, subject_id) LEFT JOIN errors e ON e.row_seq = b.row_seq)
+      SELECT row_seq AS ord, concat_ws(':', 'claim', s, predicate) AS id, s AS subject_id, CAST(0.5 AS DOUBLE) AS confidence, 'weak' AS support, CAST(coalesce(len(evidence_refs), 0) AS INTEGER) AS evidence_count,
+        CASE WHEN bad IS NOT NULL THEN bad WHEN known IS NULL THEN 'Subject object not found: ' || coalesce(s, 'null') WHEN coalesce(len(evidence_refs), 0) = 0 THEN 'M1 violated: no provenance for ' || concat_ws(':', 'claim', s, predicate) ELSE '' END AS error FROM j""",
     "relationship_create": f"""{_WALK}{_ALIASES}, {_V}, {_evidence_errors('relationships')}, k AS (SELECT DISTINCT id FROM objects),
       b AS (SELECT DISTINCT row_seq, source_object, relation_type, target_object, evidence_refs FROM relationships),
       j AS (SELECT b.*, coalesce(x.canonical, source_object) AS s, coalesce(y.canonical, target_object) AS t, e.error FROM b LEFT JOIN aliases x ON x.alias = source_object LEFT JOIN aliases y ON y.alias = target_object LEFT JOIN errors e ON e.row_seq = b.row_seq)

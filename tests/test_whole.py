@@ -60,3 +60,11 @@ def test_journal_is_cut_by_its_own_length(spark, tmp_path):
     spark.createDataFrame(rows, "sequence long, id string, entity_type string, entity_id string").write.parquet(str(tmp_path / "journal.parquet"))
     got = sorted((r["sequence"], r["id"]) for r in entry.queries()["journal_apply_half"](spark, str(tmp_path)).collect())
     assert got == [(i, f"e{i}") for i in range(51, 101)]
+
+
+def test_created_claims_come_as_rows(spark):
+    rows = entry.queries()["claim_create_rows"](spark, "/root/testdata/sf0.001")
+    counts = {r["reason"]: r["n"] for r in entry.queries()["claim_create"](spark, "/root/testdata/sf0.001").collect()}
+    got = rows.collect()
+    assert len(got) == sum(counts.values()) and sum(r["error"] == "" for r in got) == counts["accepted"]
+    assert all(r["id"].startswith(f"claim:{r['subject_id']}:") and r["evidence_count"] > 0 for r in got if r["error"] == "")
