@@ -1,17 +1,18 @@
-"""Linking the spellings of names typed by people (problem 4)."""
+"""What a typed name says: its words in a common form, told by counts and by what recorded aliases teach (problem 4)."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import combinations, product
 
-from mnemora.llm import namewords as W
+from mnemora.llm.shortforms import ANYONE, ORNAMENTS, SHORT
 
-
-def edited(word: str) -> set[str]:
-    """A word and what is left of it without one letter: two words one edit apart share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+#: Words of a name for which every way of shortening is foreseen; of longer names only initials for all, or all left out but one.
+FORESEEN = 4
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -26,113 +27,92 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-#: Roles of words that say something together with another one only.
-PARTS = {"system1", "system2", "event"}
-
-
-class Lexicon:
-    """The fixed words by what they are: word -> set of (role, value)."""
-
-    def __init__(self) -> None:
-        self.roles: dict[str, set[tuple[str, str]]] = {}
-        for full, short in W.SHORT_FORMS.items():
-            for w in (full, *short.split()):
-                self.add(w, "given", full)
-        for role, table in (("field", W.FIELDS), ("team", W.TEAMS), ("legal", W.LEGAL)):
-            for full, short in table.items():
-                self.add(full, role, full)
-                self.add(short, role, full)
-        for full, short in W.SYSTEMS.items():
-            for form in (full, short):
-                parts = form.split()
-                for i, w in enumerate(parts):
-                    self.add(w, "system" if len(parts) == 1 else ("system2" if i else "system1"), full)
-        for w in W.VERBS:
-            self.add(w, "verb", w)
-        for e in W.EVENTS:
-            for w in e.split():
-                self.add(w, "event", e)
-        for w in W.TITLES:
-            self.add(w, "title", w)
-        for w in W.DEGREES:
-            self.add(w, "degree", w)
-        self.near: dict[str, set[str]] = {}
-        for w, r in self.roles.items():
-            if len(w) >= 5 or {x for x, _ in r} & PARTS:
-                for v in edited(w):
-                    self.near.setdefault(v, set()).add(w)
-        self.glued = sorted((w for w, r in self.roles.items() if len(w) >= 4 and {x for x, _ in r} & {"field", "system", "system1", "system2"}), key=len, reverse=True)
-        self.vague = frozenset(W.VAGUE.split())
-
-    def add(self, word: str, role: str, value: str) -> None:
-        self.roles.setdefault(word, set()).add((role, value))
-
-    def of(self, word: str) -> tuple[set[tuple[str, str]], bool]:
-        """Roles of a word, of the nearest fixed words one edit away if it is none itself; whether it is exact.
-
-        Fixed words under five letters are near nothing, but parts of a phrase are: ``beside`` asks for the rest of it.
-        """
-        if word in self.roles:
-            return self.roles[word], True
-        if len(word) < 3:
-            return set(), True
-        found: set[tuple[str, str]] = set()
-        for v in edited(word):
-            for w in self.near.get(v, ()):
-                if one_edit(word, w):
-                    found |= self.roles[w] if len(w) >= 5 else {(f"{r}?", v) for r, v in self.roles[w] if r in PARTS}
-        return found, False
-
-    def beside(self, words: list[str]) -> tuple[list[set[tuple[str, str]]], list[bool]]:
-        """``of`` each word; a misspelt short part of a phrase counts only next to an exact other word of that phrase."""
-        roles, exact = map(list, zip(*map(self.of, words), strict=True))
-        phrase = {"system1": 1, "system2": -1}
-        for i, found in enumerate(roles):
-            sure = {x for x in found if not x[0].endswith("?")}
-            for r, v in found - sure:
-                role = r[:-1]
-                ways = [phrase[role]] if role in phrase else [-1, 1]
-                others = [roles[i + k] for k in ways if 0 <= i + k < len(words) and exact[i + k]]
-                wanted = {"system1": "system2", "system2": "system1"}.get(role, role)
-                if any((wanted, v) in o for o in others):
-                    sure.add((role, v))
-            roles[i] = sure
-        return roles, [e or not x for e, x in zip(exact, roles, strict=True)]
-
-    def split(self, word: str) -> list[str]:
-        """A word with fixed words written onto its end, as ``stemmessagequeue``, taken apart."""
-        if word in self.roles:
-            return [word]
-        for w in self.glued:
-            if word.endswith(w) and len(word) - len(w) >= 4:
-                return [*self.split(word[: -len(w)]), w]
-        return [word]
+def looks_short(s: str, full: str) -> bool:
+    """Whether s may be a shortening of full by its looks: begun alike, or, of up to four letters, letters of it in order."""
+    rest = iter(full)
+    return len(s) < len(full) and s[:1] == full[:1] and (s[:2] == full[:2] or (len(s) <= 4 and all(c in rest for c in s)))
 
 
-@dataclass
-class Reading:
-    """What a name says: its class, the distinctive word, and the rest as exactly as it is written.
+class SegmentIndex:
+    """Words at most one edit away, by the two halves of each: one edit leaves a half as it is, moved by one at most."""
 
-    ``whole``: the rest in full (a given name, a field and kind, a kind of system), None where shortened or left out.
-    ``asks``: the ways to look the entity up, each as ``how:what``. ``legal``: legal form, empty if not written.
-    Of kind ``other``, ``core`` is the words in alphabetical order and ``second`` the name as written, without blanks;
-    ``also``: each ``last name|how:what`` that it answers to if it is a person's.
-    """
+    def __init__(self, known: Iterable[str]) -> None:
+        self.at: dict[tuple[int, int, str], list[str]] = {}
+        for w in known:
+            h = len(w) // 2
+            self.at.setdefault((len(w), 0, w[:h]), []).append(w)
+            self.at.setdefault((len(w), 1, w[h:]), []).append(w)
 
-    kind: str
-    core: str = ""
-    whole: str | None = None
-    asks: list[str] = field(default_factory=list)
-    legal: str = ""
-    typos: int = 0
-    second: str = ""
-    also: list[str] = field(default_factory=list)
+    def near(self, word: str) -> set[str]:
+        found: set[str] = set()
+        n = len(word)
+        for m in (n - 1, n, n + 1):
+            h = m // 2
+            # the second half also where the swap straddles the cut: both halves change, by one known letter each
+            turned = word[: h - 1] + word[h : h + 1] if h else ""
+            pieces = {(0, word[:h]), (0, turned), *((1, word[h + shift :]) for shift in (-1, 0, 1) if h + shift >= 0)}
+            for no, piece in pieces:
+                found.update(w for w in self.at.get((m, no, piece), ()) if w != word and one_edit(w, word))
+        return found
+
+
+@dataclass
+class Words:
+    """What is known of words. ``common``: those that stand beside many others; ``short``: word -> what it may stand
+    for; ``ornaments``: what is no part of a name; ``events``: words of decisions and incidents; ``beside``: pairs of
+    neighbouring common words."""
+
+    common: frozenset[str] = frozenset()
+    short: dict[str, tuple[str, ...]] = field(default_factory=lambda: {k: tuple(v.split()) for k, v in SHORT.items()})
+    ornaments: frozenset[str] = ORNAMENTS
+    events: frozenset[str] = frozenset()
+    beside: frozenset[tuple[str, str]] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.index = SegmentIndex(w for w in self.common if len(w) >= 3)
+        self.long = frozenset(w for w in self.common if len(w) >= 5)
+        self.of: dict[str, list[str]] = {}
+        for s, full in self.short.items():
+            if len(full) > 1:
+                for f in full:
+                    self.of.setdefault(f, []).append(s)
+
+    def stands(self, word: str) -> tuple[str, ...]:
+        return self.short.get(word, ())
+
+    def known(self, word: str) -> bool:
+        return word in self.common or word in self.short
+
+    def meant(self, words: list[str]) -> list[str]:
+        """``words`` with misspelt common ones put right; one of under five letters, or of several near, the one that goes
+        with a word beside it."""
+        out = list(words)
+        for i, w in enumerate(words):
+            if self.known(w) or len(w) < 3 or w in self.ornaments:
+                continue
+            near = self.index.near(w)
+            fit = {x for x in near if len(x) >= 5}
+            if len(fit) != 1:
+                fit = {x for x in near if (i and (words[i - 1], x) in self.beside) or (i + 1 < len(words) and (x, words[i + 1]) in self.beside)}
+            if len(fit) == 1:
+                out[i] = fit.pop()
+        return out
+
+    def apart(self, word: str, after: str = "") -> list[str]:
+        """A word with common ones written onto its end taken apart; what is left has four letters at least. Common
+        ones have five letters at least, four before a word that they go with."""
+        if not self.known(word):
+            for cut in range(4, len(word) - 3):
+                end = word[cut:]
+                if end in self.long or (end, after) in self.beside:
+                    return [*self.apart(word[:cut], end), end]
+        return [word]
 
 
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[a-z]{4})(?=[A-Z]{2}$)")
 _ASIDE = re.compile(r"\([^)]*\)|\s-\s.*$")
 _INITIALS = re.compile(r"(?<![^\W\d_])((?:[a-z]\.){1,3})(?![^\W\d_])")
-_TOKEN = re.compile(r"[a-z0-9&/]+")
+_TOKEN = re.compile(r"[^\W_]+(?:[&/][^\W_]+)*")
 
 
 def fold(name: str) -> str:
@@ -141,112 +121,147 @@ def fold(name: str) -> str:
     return " ".join(flat.split())
 
 
-def _joined(parts: list[str], lexicon: Lexicon) -> bool:
-    """Whether hyphens join words, fixed ones all but one, and don't stand inside one; of two, the fixed one is exact."""
+def words(name: str, known: Words) -> tuple[list[str], int]:
+    """The words of a name in small letters, and how many stand before a comma (0 without one).
 
-    def fixed(p: str) -> bool:
-        roles, exact = lexicon.of(p)
-        roles = {x for x in roles if not x[0].endswith("?")}
-        return bool(roles) and (exact or len(parts) > 2 or len(p) > 6)
-
-    return all(map(fixed, parts[1:])) or all(map(fixed, parts[:-1]))
-
-
-def tokens(name: str, lexicon: Lexicon) -> list[str]:
-    """The words of a name in small letters: asides, degrees and marks gone, words run together taken apart."""
+    Asides and marks are gone; handles and words run together by capitals, ``_`` or ``-`` are apart, the last only if
+    all of them but one are known: else the hyphen stands inside a word.
+    """
     s = _ASIDE.sub(" ", fold(name)).strip().strip("@").replace("_", " ")
-    head, _, tail = s.partition(",")
-    if set(_TOKEN.findall(tail.replace(".", "").lower())) <= set(W.DEGREES):
-        s = head
+    if s.swapcase().istitle() and not s.istitle():
+        s = s.swapcase()
+    head, comma, rest = s.partition(",")
+    if comma and set(_TOKEN.findall(rest.replace(".", "").lower())) <= known.ornaments:
+        s, comma = head, ""
     s = _CAMEL.sub(" ", s).lower()
-    if " " not in s and re.fullmatch(r"[a-z\-]{2,}(\.[a-z\-]{2,})+", s):
+    if " " not in s and re.fullmatch(r"[^\W\d_]{2,}[\w\-]*(\.[^\W\d_][\w\-]+)+", s):
         s = s.replace(".", " ")
     s = _INITIALS.sub(lambda m: " " + " ".join(m.group(1).replace(".", " ").split()) + " ", s)
     out: list[str] = []
-    for raw in s.replace(",", " ").split():
+    before = 0
+    for raw in s.replace(",", " , ").split():
+        if raw == ",":
+            before = before or (len(out) if comma else 0)
+            continue
         parts = [p for p in raw.split("-") if p]
-        words = parts if len(parts) > 1 and _joined(parts, lexicon) else ["".join(parts)]
-        for w in words:
+        if len(parts) > 1:
+            right = known.meant(parts)
+            sure = sum(known.known(r) and (r == p or len(p) > 6) for p, r in zip(parts, right, strict=True))
+            parts = parts if sure >= len(parts) - 1 else ["".join(parts)]
+        for w in parts:
             for t in _TOKEN.findall(w.replace(".", "").replace("'", "").replace("’", "")):
-                out += lexicon.split(t)
-    return out
-
-
-def read(name: str | None, lexicon: Lexicon) -> Reading:
-    """The reading of a name; of kind ``none`` for null, blank and vague ones."""
-    if name is None:
-        return Reading("none")
-    words = tokens(name, lexicon)
-    words = [w for i, w in enumerate(words) if not (i == 0 and w == "the" and len(words) > 2)]
-    if not words or all(w in lexicon.vague for w in words) or name.strip().lower() in lexicon.vague:
-        return Reading("none")
-    last, comma, rest = name.partition(",")
-    found = _of_words(words, lexicon, len(tokens(last, lexicon)) if comma and rest.strip() else 0)
-    if found.kind == "other" and len(words) > 1:
-        # a blank that slipped into a word: written together, the fixed words show where the others begin
-        again = _of_words(lexicon.split("".join(words)), lexicon)
-        return again if again.kind == "system" else found
-    return found
-
-
-def _of_words(words: list[str], lexicon: Lexicon, comma: int = 0) -> Reading:
-    """``comma``: how many words stand before a comma, 0 without one."""
-    roles, exact = lexicon.beside(words)
-    named = [{r for r, _ in x} for x in roles]
-
-    def values(role: str) -> list[set[str]]:
-        return [{v for r, v in x if r == role} for x in roles if any(r == role for r, _ in x)]
-
-    typos = sum(1 for e, x in zip(exact, roles, strict=True) if x and not e)
-    plain = [i for i, x in enumerate(named) if not x]
-    initial = [i for i in plain if len(words[i]) == 1]
-    stems = [i for i in plain if len(words[i]) > 1]
-    # two words of a kind of system only count together
-    pairs = {v for i, x in enumerate(roles[:-1]) for r, v in x if r == "system1" for r2, v2 in roles[i + 1] if r2 == "system2" and v2 == v}
-    systems = pairs | {v for x in roles for r, v in x if r == "system"}
-    events = [e for e in W.EVENTS if all(any(v == e and r == "event" for r, v in x) for x in roles[-len(e.split()) :]) and len(words) > len(e.split())]
-    core = " ".join(words[i] for i in stems)
-    if stems and len(systems) == 1 and not values("field"):
-        kind = next(iter(systems))
-        if events:
-            return Reading("incident", core)
-        if "verb" in named[0]:
-            return Reading("decision", core)
-        return Reading("system", core, kind, [f"is:{kind}"], typos=typos)
-    if stems and (values("field") or values("team") or values("legal")) and not systems:
-        fields, kinds, legal = values("field"), values("team"), values("legal")
-        f = next(iter(fields[0])) if fields else ""
-        k = next(iter(kinds[0])) if kinds else ""
-        form = next(iter(legal[0])) if legal else ""
-        letters = [words[i] for i in initial]
-        if f and k:
-            return Reading("team", core, f"{f} {k}", [f"is:{f} {k}"], form, typos)
-        if f and letters:
-            return Reading("team", core, None, [f"half:{f} {letters[-1]}"], form, typos)
-        if k and letters:
-            return Reading("team", core, None, [f"half:{letters[0]} {k}"], form, typos)
-        if f:
-            return Reading("team", core, None, [f"field:{f}"], form, typos)
-        if k:
-            return Reading("team", core, None, [f"kind:{k}"], form, typos)
-        if len(letters) >= 2:
-            return Reading("team", core, None, [f"letters:{letters[0]} {letters[1]}"], form, typos)
-        return Reading("team", core, None, [f"legal:{form}"], form, typos)
-    given = [i for i, x in enumerate(named) if "given" in x]
-    # an initial between two plain words is a middle one, beside them that of a given name
-    middle = len(stems) == 2 and all(stems[0] < i < stems[1] for i in initial)
-    letters = [i for i in initial if len(stems) == 1 or (words[i].isalpha() and not middle)]
-    if 1 <= len(stems) <= 2 and (given or letters) and not any(x & {"system", "system1", "system2", "field", "team", "verb", "event"} for x in named):
-        if given:
-            who = sorted({v for r, v in roles[given[0]] if r == "given"})
-            return Reading("person", core, who[0] if len(who) == 1 else None, [f"is:{g}" for g in who], typos=typos)
-        # the letter beside the last name: before it, or after it where the last name comes first
-        return Reading("person", core, None, [f"letter:{words[letters[0]]}"], typos=typos)
-    said = [i for i, x in enumerate(named) if not x & {"title", "degree"} and not (middle and i in initial)]
-    also = []
-    if 2 <= len(stems) <= 3 and said == stems:
+                out += known.apart(t)
+    return out, before
+
+
+@dataclass
+class Reading:
+    """``head``: the distinctive words, sorted and run together; ``tail``: the common ones, sorted. ``whole``: nothing
+    is shortened in it. ``asks``: (head, tail, rank) under which to look up what it may stand for, best first.
+    ``answers``: (head, tail, how) under which a whole name is looked up; how: ``plain``, the same words in written order,
+    ``short``, or ``guess``, short where nothing tells which word is the given name or that its end was left out."""
+
+    head: str
+    tail: str
+    whole: bool
+    asks: list[tuple[str, str, int]]
+    answers: list[tuple[str, str, str]]
+
+
+def shortenings(tail: list[str], known: Words) -> set[str]:
+    """The tails that a name with the common words ``tail`` may be shortened to: initials or ambiguous short forms for
+    any of them, or some left out, one at least staying."""
+    if len(tail) > FORESEEN:
+        ways = {tuple(w[0] for w in tail), *((w,) for w in tail), *combinations(tail, len(tail) - 1)}
+    else:
+        ways = set(product(*[(w, w[0], *known.of.get(w, ())) for w in tail]))
+        ways |= {c for n in range(1, len(tail)) for c in combinations(tail, n)}
+        # the last word, a legal form as a rule, may go while the others are shortened
+        ways |= {c[:-1] for c in ways if len(tail) > 2 and len(c) == len(tail) and c[-1] == tail[-1]}
+    return {" ".join(sorted(c)) for c in ways} - {" ".join(sorted(tail))}
+
+
+def read(name: str | None, known: Words) -> Reading | None:
+    """The reading of a name; None for null, blank and vague ones and those of decisions and incidents."""
+    if name is None or fold(name).lower() in ANYONE:
+        return None
+    said, before = words(name, known)
+    if not said or all(w in ANYONE or w in known.ornaments for w in said):
+        return None
+    said = known.meant(said)
+    full: list[str] = []
+    comma = 0
+    for i, w in enumerate(said):
+        if i == before:
+            comma = len(full)
+        stands = known.stands(w)
+        if w not in known.ornaments or len(said) == 1:
+            full += stands[0].split() if len(stands) == 1 else [w]
+    if not full:
+        return None
+    if known.events.intersection(full):
+        return None
+    letters = [w for w in full if len(w) == 1 and w.isalpha()]
+    unsure = [w for w in full if len(known.stands(w)) > 1]
+    common = [w for w in full if w in known.common and w not in unsure]
+    heads = [w for w in full if w not in common and w not in letters and w not in unsure]
+    if not heads and len(unsure) + len(common) > 1 and not letters and not common:
+        heads, unsure = unsure[-1:], unsure[:-1]
+    if not heads:  # of common words only, these tell it from others
+        if letters or unsure:
+            return None
+        return Reading("".join(sorted(common)), "", True, [], [])
+    head, plain = "".join(sorted(heads)), "".join(heads)
+    tail = " ".join(sorted(common + letters + unsure))
+    if letters or unsure:
+        asks = [(head, tail, 0)]
+        if letters and (common or unsure or len(heads) > 1):
+            asks.append((head, " ".join(sorted(common + unsure)), 1))
+        return Reading(head, tail, False, asks, [])
+    answers = [(head, t, "short") for t in shortenings(common, known)] if common else []
+    if plain != head:
+        answers.append((plain, tail, "plain"))
+    if not common and 2 <= len(heads) <= 3:
         # unknown words in full: the given name comes first, or first after a comma
-        first = next((i for i in stems if i >= comma), stems[0])
-        also = [f"{' '.join(words[i] for i in stems if i != first)}|letter:{words[first][0]}"]
-    kept = [words[i] for i in said] or words
-    return Reading("other", " ".join(sorted(kept)), "", ["is:"], typos=typos, second="".join(kept), also=also)
+        first = full[comma] if comma < len(full) else full[0]
+        rest = list(heads)
+        rest.remove(first)
+        answers += [("".join(sorted(rest)), t, "guess") for t in {first[0], *known.of.get(first, ())}]
+    if not common and len(heads) == 1 and len(head) >= 8:
+        # a single word may lose its end, a quarter of it at most
+        answers += [(head[:n], "", "guess") for n in range(max(6, len(head) - len(head) // 4), len(head))]
+    return Reading(head, tail, True, [], answers)
+
+
+def taught(name: str | None, alias: str | None) -> list[tuple[str, str]]:
+    """What an alias teaches beside its object's name: (words of the alias, words of the name) in which alone they
+    differ, at most two each and one side perhaps none. Nothing where they share no word of four letters."""
+    if name is None or alias is None:
+        return []
+    plain = Words(short={})
+    a, b = words(alias, plain)[0], words(name, plain)[0]
+    if not a or not b or len(a) > 12 or len(b) > 12:
+        return []
+    both = Counter(a) & Counter(b)
+    if not any(len(w) >= 4 for w in both):
+        return []
+
+    def rest(xs: list[str]) -> list[str]:
+        left, out = Counter(both), []
+        for x in xs:
+            if left[x]:
+                left[x] -= 1
+            else:
+                out.append(x)
+        return out
+
+    x, y = rest(a), rest(b)
+    if any(len(w) < 2 for w in x) or len(x) > 2 or len(y) > 2 or not (x or y):
+        return []
+    if len(x) == 1 and len(y) == 2:
+        # one word for two neighbours: their initials, or short for one of them, the other left out
+        if b.index(y[1]) == b.index(y[0]) + 1 and x[0] == y[0][0] + y[1][0]:
+            return [(x[0], " ".join(y))]
+        y = [w for w in y if looks_short(x[0], w)][:1]
+        return [(x[0], y[0])] if y else []
+    return [(" ".join(x), " ".join(y))]
