@@ -237,8 +237,11 @@ def resolved_names(objects: DataFrame, mentions: DataFrame, short: dict[str, str
     used = said.groupBy("head").agg(F.count("*").alias("names"))
     counted = whole.groupBy(*group).agg(F.count("*").alias("spellings"), F.sum("times").alias("times"), F.max("of_object").alias("of_object"))
     full = cut(counted.join(used, "head").select(*group, "of_object", F.struct("names", "spellings", "times", "head").alias("own")))
-    answers = cut(whole.select(*group, F.explode("answers").alias("v")).select(F.col("v.head").alias("b"), F.col("v.tail").alias("tail"), "v.how", F.col("head").alias("to_head"), F.col("tail").alias("to_tail")).distinct())
     asks = part.select(*group, F.explode("asks").alias("v")).select(F.col("v.head").alias("a"), F.col("v.tail").alias("tail"), "v.rank", F.col("head").alias("of_head"), F.col("tail").alias("of_tail")).distinct()
+    # of all that names may be shortened to only what some name asks, tail by tail
+    asked = full.select("tail").unionByName(asks.select("tail")).distinct()
+    answers = whole.select(*group, F.explode("answers").alias("v")).select(F.col("v.head").alias("b"), F.col("v.tail").alias("tail"), "v.how", F.col("head").alias("to_head"), F.col("tail").alias("to_tail"))
+    answers = cut(answers.join(asked, "tail", "left_semi").distinct())
     strings = full.select("head", "tail").unionByName(answers.select(F.col("b").alias("head"), "tail")).unionByName(asks.select(F.col("a").alias("head"), "tail"))
     near = cut(similar(strings, "head", ("tail",)))
 
