@@ -1,10 +1,12 @@
 """Filling windows of a fixed size with texts (problem 6).
 
 The texts are cut to pieces no longer than a window, and the pieces' length histogram (at most one entry a length,
-whatever the number of texts) is packed on the driver: the configuration linear program is solved by multiplicative
-weights, each step priced by a knapsack dynamic program, and rounded down; what is left over is filled largest first.
-The resulting plan says for each length which windows hold it, so every piece finds its place from its rank among
-pieces of its length. Ranks come from counts per partition, so one frequent length is never gathered in a task.
+whatever the number of texts) is packed on the driver. The configuration linear program is solved by multiplicative
+weights, each step priced by a knapsack dynamic program, until its solution covers every length and is proven to be
+within EPS of the best; it is rounded down, and what rounding leaves is solved again as long as that is whole fillings.
+Only the last remainder is filled longest first. The resulting plan says for each length which windows hold it, so
+every piece finds its place from its rank among pieces of its length. Ranks come from counts per partition, so one
+frequent length is never gathered in a task.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from mnemora.llm.tokens import TOKENIZER, token_counts
 from mnemora.session import cut
 
 CAPACITY = 2_048
-#: Knapsack pricings of the linear program at most; each costs some 10 ms at a capacity of 2,048.
-ROUNDS = 600
-#: By how much a token of the longest piece is dearer at first than one of the shortest.
-DEARER = 0.2
+#: The linear program is solved when its windows are proven to be at most this share more than needed.
+EPS = 0.15
+#: By how much a full covering of a length lowers the logarithm of its weight, and how far a known filling may be from
+#: the best one to be taken without pricing anew. As exp and these together allow an error of 1.08, EPS is reached.
+STEP, LAZY = 0.12, 0.02
 
 
 def best_filling(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -50,35 +53,69 @@ def best_filling(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     return np.array(chosen, np.int64), float(best[capacity])
 
 
-def fractional(counts: np.ndarray, rounds: int = ROUNDS, step: float = 0.5) -> tuple[dict[tuple, float], float]:
-    """The configuration program by multiplicative weights: ({filling: times}, lower bound on windows).
-
-    ``counts[l]`` pieces of length ``l`` are to be covered. A length's weight falls with the share of it covered so
-    far; each round takes the filling worth most at these weights, as often as its scarcest length allows. The weights
-    over that worth are a dual solution, so every round bounds the windows needed from below.
+def proven(counts: np.ndarray) -> float:
+    """Windows that any packing needs, by dual feasible functions: the tokens themselves, and for k = 1, 2, … lengths
+    counted in k-ths of a window, rounded so that no window's pieces can count for more than one."""
+    capacity = len(counts) - 1
+    lengths = np.arange(capacity + 1)
+    best = float((lengths * counts).sum() / capacity)
+    for k in range(1, 101):
+        scaled = (k + 1) * lengths
+        best = max(best, float((np.where(scaled % capacity == 0, lengths / capacity, (scaled // capacity) / k) * counts).sum()))
+    return best
+
+
+def first_fillings(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """A filling begun with each length and filled up with the longest that fits, as rows of how often each is in it."""
+    rows = np.zeros((len(lengths), len(lengths)), np.int64)
+    for i, length in enumerate(lengths):
+        rows[i, i], space = 1, capacity - length
+        while (at := int(np.searchsorted(lengths, space, side="right")) - 1) >= 0:
+            rows[i, at] += space // lengths[at]
+            space %= lengths[at]
+    return np.unique(rows, axis=0)
+
+
+def fractional(counts: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.ndarray, float]:
+    """The configuration program by multiplicative weights: (fillings, times, lower bound on windows).
+
+    Of ``counts[l]`` pieces of length ``l`` each filling is a row: how often it holds each length there is. ``times`` of
+    them cover every length, with no more than (1 + eps) times the windows needed. A length's weight falls with the
+    share of it covered so far; each round takes the filling worth most at these weights, a known one unless pricing
+    by the knapsack finds one better by LAZY, as often as its scarcest length allows. The weights over the best worth
+    are a dual solution, so every pricing bounds the windows needed from below.
     """
     capacity = len(counts) - 1
-    there = np.flatnonzero(counts)
-    covered = np.zeros(capacity + 1)
-    times: dict[tuple, float] = {}
-    total = float((np.arange(capacity + 1) * counts).sum())
-    bound = total / capacity
-    for _ in range(rounds):
-        share = covered[there] / counts[there]
-        worth = np.full(capacity + 1, -np.inf)
-        # a length's price: its tokens, long ones a little dearer as harder to place, times a weight that falls as it
-        # is covered
-        worth[there] = there * (1 + DEARER * there / capacity) * np.exp(-step * (share - share.min()))
-        chosen, value = best_filling(worth, capacity)
-        bound = max(bound, float((worth[there] * counts[there]).sum()) / value)
-        ls, a = np.unique(chosen, return_counts=True)
-        often = float((counts[ls] / a).min())
-        key = tuple(zip(ls.tolist(), a.tolist(), strict=True))
-        times[key] = times.get(key, 0.0) + often
-        covered[ls] += often * a
-        if (covered[there] / counts[there]).min() >= 4:
-            break
-    return times, bound
+    lengths = np.flatnonzero(counts)
+    n, m = counts[lengths].astype(float), len(lengths)
+    fillings = first_fillings(lengths, capacity).astype(np.float32)
+    known, used = len(fillings), np.zeros(len(fillings))
+    weight, covered, bound = np.log(lengths * n), np.zeros(m), proven(counts)
+    rounds = 0
+    while True:
+        rounds += 1
+        price = np.exp(weight - weight.max()) / n
+        dual = float((price * n).sum())
+        worths = fillings[:known] @ price.astype(np.float32)
+        best = int(worths.argmax())
+        if dual > (1 + LAZY) * bound * float(worths[best]):
+            worth = np.full(capacity + 1, -np.inf)
+            worth[lengths] = price
+            chosen, value = best_filling(worth, capacity)
+            bound = max(bound, dual / value)
+            if value > float(worths[best]) * (1 + 1e-5):
+                if known == len(fillings):
+                    fillings, used = np.concatenate([fillings, np.zeros_like(fillings)]), np.concatenate([used, np.zeros_like(used)])
+                fillings[known] = np.bincount(np.searchsorted(lengths, chosen), minlength=m)
+                best, known = known, known + 1
+        held = np.flatnonzero(fillings[best])
+        each = fillings[best][held].astype(float)
+        often = float((n[held] / each).min())
+        used[best] += often
+        covered[held] += often * each / n[held]
+        weight[held] -= STEP * often * each / n[held]
+        if rounds % m == 0 and covered.min() > 0 and used.sum() <= (1 + eps) * bound * covered.min():
+            return fillings[:known].astype(np.int64), used[:known] / covered.min(), bound
 
 
 @dataclass
@@ -98,35 +135,11 @@ class Plan:
         return sum(sum(f) * n for f, n in self.fillings)
 
 
-def plan_windows(counts: np.ndarray, rounds: int = ROUNDS) -> Plan:
-    """Which fillings to use how often so that each of ``counts[l]`` pieces of length ``l`` has a place."""
-    capacity = len(counts) - 1
-    left = counts.astype(np.int64).copy()
-    fillings: list[tuple[list[int], int]] = []
-    bound = 0.0
-
-    def use(pairs: list[tuple[int, int]], n: int) -> None:
-        for length, a in pairs:
-            left[length] -= a * n
-        fillings.append(([int(length) for length, a in sorted(pairs, reverse=True) for _ in range(a)], int(n)))
-
-    if left.any():
-        times, bound = fractional(counts.astype(float), rounds)
-        cover = np.zeros(capacity + 1)
-        for key, t in times.items():
-            for length, a in key:
-                cover[length] += a * t
-        # by complementary slackness an optimum uses no filling with more room to spare than the bound has on average
-        spare = capacity - float((np.arange(capacity + 1) * counts).sum()) / bound + 0.002 * capacity
-        good = {k: t for k, t in times.items() if capacity - sum(length * a for length, a in k) <= spare}
-        for key, t in sorted(good.items(), key=lambda x: -x[1]):
-            # each length is covered more often than needed; a filling counts as much as its most-needed length
-            scale = max(counts[length] / cover[length] for length, _ in key)
-            n = min(int(t * scale), *(left[length] // a for length, a in key))
-            if n > 0:
-                use(list(key), n)
+def longest_first(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+    """(length and how often, times) of windows filled with the longest piece left, then always the longest that fits;
+    each filling is used until one of its lengths is gone."""
+    capacity, left, out = len(counts) - 1, counts.astype(np.int64).copy(), []
     while left.any():
-        # the longest pieces left first, then always the longest that fits; used until one of its lengths is gone
         space, pairs, length = capacity, [], capacity
         there = np.flatnonzero(left)
         while space > 0:
@@ -138,7 +151,48 @@ def plan_windows(counts: np.ndarray, rounds: int = ROUNDS) -> Plan:
             pairs.append((length, a))
             space -= a * length
             length -= 1
-        use(pairs, int(min(left[length] // a for length, a in pairs)))
+        n = int(min(left[length] // a for length, a in pairs))
+        for length, a in pairs:
+            left[length] -= a * n
+        out.append((pairs, n))
+    return out
+
+
+def plan_windows(counts: np.ndarray, eps: float = EPS) -> Plan:
+    """Which fillings to use how often so that each of ``counts[l]`` pieces of length ``l`` has a place."""
+    capacity = len(counts) - 1
+    left = counts.astype(np.int64).copy()
+    fillings: list[tuple[list[int], int]] = []
+    bound = 0.0
+
+    def use(pairs: list[tuple[int, int]], n: int) -> None:
+        for length, a in pairs:
+            left[length] -= a * n
+        fillings.append(([int(length) for length, a in sorted(pairs, reverse=True) for _ in range(a)], int(n)))
+
+    # while there are more windows to fill than lengths, so that fillings come whole
+    while left.any() and (not fillings or (np.arange(capacity + 1) * left).sum() > capacity * (left > 0).sum()):
+        before, lengths = len(fillings), np.flatnonzero(left)
+        rows, times, least = fractional(left, eps)
+        bound = bound or least
+        n = left[lengths]
+        over = (rows * times[:, None]).sum(0) / n
+        for i in np.argsort(-times):
+            held = np.flatnonzero(rows[i])
+            # a length is covered more often than needed: a filling counts as much as its most-needed length
+            often = min(int(times[i] / over[held].min() + 1e-9), int((left[lengths[held]] // rows[i][held]).min())) if len(held) else 0
+            if often > 0:
+                use(list(zip(lengths[held].tolist(), rows[i][held].tolist(), strict=True)), often)
+        if len(fillings) == before:
+            break
+    for pairs, n in longest_first(left):
+        use(pairs, n)
+    # rounding may lose more than the program gains
+    plain = longest_first(counts)
+    if sum(n for _, n in plain) < sum(n for _, n in fillings):
+        fillings.clear()
+        for pairs, n in plain:
+            use(pairs, n)
     return Plan(capacity, fillings, bound)
 
 
@@ -191,7 +245,7 @@ def _places(plan: Plan) -> dict[str, np.ndarray]:
 def place(rows: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, piece_no, n_tokens, window_no, position, start_token, window_tokens) of ranked pieces.
 
-    The plan holds at most (rounds + capacity) fillings, so its slots are a bounded table that goes with the function.
+    The plan's fillings come from lengths, not from pieces, so its slots are a bounded table that goes with the function.
     """
     at, wide = _places(plan), np.int64(1) << 40
 
@@ -212,7 +266,7 @@ def place(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, piece_no int, n_tokens int, window_no long, position int, start_token int, window_tokens int")
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, eps: float = EPS) -> tuple[DataFrame, DataFrame]:
     """(placements, report). Texts of null or no tokens need no place and have no row; repeated texts have one each.
 
     Report, one row: windows, tokens, the share of all room left unused, and the windows that any packing needs.
@@ -222,7 +276,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = T
     counts = np.zeros(capacity + 1, np.int64)
     for r in cutted.groupBy("size").count().collect():  # at most ``capacity`` rows
         counts[r["size"]] = r["count"]
-    plan = plan_windows(counts, rounds)
+    plan = plan_windows(counts, eps)
     room = plan.windows * capacity
     report = spark.createDataFrame(
         [(plan.windows, plan.tokens, (room - plan.tokens) / room if room else 0.0, int(np.ceil(plan.bound - 1e-6)))],

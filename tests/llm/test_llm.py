@@ -190,7 +190,7 @@ def test_plans_place_everything_near_the_bound(seed):
     counts = np.zeros(129, np.int64)
     for x in rng.integers(1, [20, 60, 129][seed - 1], 4000):
         counts[x] += 1
-    plan = packing.plan_windows(counts, 60)
+    plan = packing.plan_windows(counts)
     placed = np.zeros(129, np.int64)
     for lengths, n in plan.fillings:
         assert sum(lengths) <= 128 and n > 0
@@ -200,11 +200,58 @@ def test_plans_place_everything_near_the_bound(seed):
     assert packing.plan_windows(np.zeros(10, np.int64)).fillings == []
 
 
+def histogram(capacity, **pieces):
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.items():
+        counts[int(length[1:])] = n
+    return counts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_program_covers_every_length(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(rng.integers([90, 150][seed - 1], 400, 20_000), minlength=1001)
+    fillings, times, bound = packing.fractional(counts)
+    lengths = np.flatnonzero(counts)
+    assert ((fillings * lengths).sum(1) <= 1000).all() and (fillings >= 0).all()
+    assert ((fillings * times[:, None]).sum(0) >= counts[lengths] * (1 - 1e-9)).all()
+    assert bound <= times.sum() <= (1 + packing.EPS) * bound + 1e-6
+
+
+def test_the_program_beats_filling_longest_first():
+    counts = histogram(2048, _1045=600, _553=600, _532=600, _471=1200)
+    assert packing.plan_windows(counts).windows == 900 < sum(n for _, n in packing.longest_first(counts)) == 1100
+    counts = np.bincount(np.random.default_rng(4).integers(300, 800, 50_000), minlength=2049)
+    plan = packing.plan_windows(counts)
+    assert plan.bound <= plan.windows < plan.bound * 1.005 and sum(n for _, n in packing.longest_first(counts)) > plan.bound * 1.02
+
+
+def test_the_bound_sees_what_fits_together():
+    counts = np.bincount(np.random.default_rng(5).integers(690, 1100, 20_000), minlength=2049)
+    plan = packing.plan_windows(counts)
+    assert np.ceil(plan.bound - 1e-6) == plan.windows == 10_000  # no three fit
+
+
+def test_bounds_are_bounds():
+    r = random.Random(6)
+    for _ in range(40):
+        pieces = [r.randrange(1, 11) for _ in range(r.randrange(1, 8))]
+
+        def least(rest, rooms):
+            if not rest:
+                return len(rooms)
+            return min([least(rest[1:], [*rooms, 10 - rest[0]]), *(least(rest[1:], [*rooms[:i], x - rest[0], *rooms[i + 1 :]]) for i, x in enumerate(rooms) if x >= rest[0])])
+
+        plan = packing.plan_windows(np.bincount(pieces, minlength=11))
+        best = least(sorted(pieces, reverse=True), [])
+        assert plan.bound <= best + 1e-6 and plan.windows <= best + 1
+
+
 def test_packing(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.choice([1, 5, 5, 40, 90]))) for _ in range(300)] + [None, "", "word " * 700, "x" * 3000]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOC).withColumn("size", F.lit(1)).withColumn("pid", F.lit("p")).withColumn("n_tokens", F.lit(9))
-    placed, report = packing.pack_documents(docs, 100, rounds=40)
+    placed, report = packing.pack_documents(docs, 100)
     got = placed.toPandas()
     size = counter(TOKENIZER)
     want = {i: size(t) for i, t in enumerate(texts) if t}
