@@ -7,9 +7,6 @@ larger budget's threshold is never smaller, so mixes are nested.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from mnemora.session import cut
 
 #: Bits of the hash that one histogram tells apart, and the histograms taken: 4 x 10 of the 60 bits used.
 BITS, LEVELS = 10, 4
+SALTS = 8
 
 
 def source_name(text: Column) -> Column:
@@ -25,78 +23,64 @@ def source_name(text: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit("_"), F.lit("-"))
 
 
-@dataclass
-class Share:
-    """What one source gives: all its documents ``copies`` times, those hashed under ``threshold`` once more."""
-
-    target: float
-    repeats: int
-    tokens: int = 0
-    budget: float = 0.0
-    copies: int = 0
-    threshold: int = 0
-    rest: float = 0.0
-
-
 def _draw() -> Column:
     return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 4)
 
 
-def _histogram(rows: DataFrame, level: int, within: dict[str, int]) -> dict[str, np.ndarray]:
-    """Tokens by source and bucket of ``level``, of the rows whose higher bits are those in ``within``.
+def _beside(rows: DataFrame, sources: DataFrame, salts: int) -> DataFrame:
+    """``rows`` beside the row of their source; a source that holds a third of all rows is spread over ``salts``."""
+    salted = rows.withColumn("salt", F.pmod("draw", F.lit(salts)).cast("int"))
+    return salted.join(sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["source_name", "salt"]).drop("salt")
 
-    At most (sources in the targets x 1,024) rows come to the driver.
-    """
-    low = 60 - BITS * (level + 1)
-    bucket = F.shiftrightunsigned("draw", low).bitwiseAND(F.lit((1 << BITS) - 1))
-    if level:
-        here = F.lit(False)
-        for name, prefix in within.items():
-            here = here | ((F.col("source_name") == name) & (F.shiftrightunsigned("draw", low + BITS) == prefix))
-        rows = rows.where(here)
-    found = {name: np.zeros(1 << BITS, np.int64) for name in within}
-    for r in rows.groupBy("source_name", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect():
-        if r["source_name"] in found:
-            found[r["source_name"]][r["bucket"]] = r["n"]
-    return found
-
-
-def plan_mix(rows: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, Share]:
-    """The shares of (source_name, draw, n_tokens) rows; ``total`` tokens, or the most at which no source falls short.
-
-    A source with fewer tokens than its budget asks for, all repeats used, gives what it has. A source without any
-    token gives nothing, and the others' targets are scaled up to one.
+
+def plan_mix(rows: DataFrame, targets: DataFrame, total: float | None = None, salts: int = SALTS) -> DataFrame:
+    """(source_name, copies, threshold) of each source of ``targets`` (source_name, target_share, max_repeats) that gives
+    anything: all its (source_name, draw, n_tokens) rows ``copies`` times, those drawn under ``threshold`` once more.
+
+    ``total`` tokens, or the most at which no source falls short. A source with fewer tokens than its budget asks for,
+    all repeats used, gives what it has. A source without any token gives nothing, and the others' targets are scaled
+    up to one. Thresholds are found bucket by bucket: at most 1,024 sums a source and level, of the rows in its
+    boundary bucket of the level before.
     """
-    plan = {name: Share(t, r) for name, (t, r) in targets.items()}
-    first = _histogram(rows, 0, dict.fromkeys(plan, 0))
-    for name, s in plan.items():
-        s.tokens = int(first[name].sum())
-    there = {n: s for n, s in plan.items() if s.tokens and s.target > 0 and s.repeats > 0}
-    scale = sum(s.target for s in there.values())
-    if not there:
-        return plan
-    most = min(s.tokens * s.repeats * scale / s.target for s in there.values())
-    for s in there.values():
-        s.budget = min((most if total is None else total) * s.target / scale, float(s.tokens * s.repeats))
-        s.copies = int(s.budget // s.tokens)
-        s.rest = s.budget - s.copies * s.tokens
-    open_ones, prefix = {n for n, s in there.items() if s.rest > 0}, dict.fromkeys(there, 0)
+    sums = rows.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens"))
+    there = cut(targets.where("target_share > 0 AND max_repeats > 0").join(sums, "source_name"))
+    scale = there.agg(F.sum("target_share")).first()[0] or 1.0
+    room = F.col("tokens") * F.col("max_repeats")
+    if total is None:
+        total = there.agg(F.min(room * F.lit(scale) / F.col("target_share"))).first()[0] or 0.0
+    budget = F.least(F.lit(float(total)) * F.col("target_share") / F.lit(scale), room.cast("double"))
+    planned = there.select("source_name", "tokens", budget.alias("budget")).withColumn("copies", F.floor(F.col("budget") / F.col("tokens")))
+    planned = planned.select("source_name", "copies", (F.col("budget") - F.col("copies") * F.col("tokens")).alias("rest"))
+    state = cut(planned.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("threshold"), (F.col("rest") > 0).alias("open")))
     for level in range(LEVELS):
-        if not open_ones:
-            break
-        found = first if level == 0 else _histogram(rows, level, {n: prefix[n] for n in open_ones})
         low = 60 - BITS * (level + 1)
-        for name in sorted(open_ones):
-            s, upto = there[name], np.cumsum(found[name])
-            at = int(np.searchsorted(upto, s.rest, side="right"))  # the first bucket that doesn't fit whole
-            s.rest -= float(upto[at - 1]) if at else 0.0
-            prefix[name] = (prefix[name] << BITS) | min(at, (1 << BITS) - 1)
-            s.threshold = prefix[name] << low if at < 1 << BITS else (prefix[name] + 1) << low
-            if at >= 1 << BITS or s.rest <= 0:
-                open_ones.discard(name)
-            elif level == LEVELS - 1 and found[name][at] - s.rest < s.rest:
-                s.threshold += 1 << low  # the last bucket, a document as a rule, when it misses less than its absence
-    return plan
+        at_work = state.where("open").select("source_name", "prefix", F.col("rest").alias("wanted"))
+        here = _beside(rows, at_work, salts)
+        if level:
+            here = here.where(F.shiftrightunsigned("draw", low + BITS) == F.col("prefix"))
+        bucket = F.shiftrightunsigned("draw", low).bitwiseAND(F.lit((1 << BITS) - 1))
+        counted = here.groupBy("source_name", "wanted", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        # at most 1,024 rows a source
+        upto = F.sum("n").over(Window.partitionBy("source_name").orderBy("bucket"))
+        run = counted.withColumn("upto", upto)
+        over = F.col("upto") > F.col("wanted")
+        first = run.groupBy("source_name").agg(
+            F.min(F.when(over, F.struct("bucket", "n"))).alias("first"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("taken")
+        )
+        joined = state.join(first, "source_name", "left").withColumn("at", F.coalesce("first.bucket", F.lit((1 << BITS) - 1)))
+        prefix = F.shiftleft("prefix", BITS).bitwiseOR(F.col("at"))
+        left = F.col("rest") - F.col("taken")
+        end = F.shiftleft(prefix + F.when(F.col("first").isNull(), F.lit(1)).otherwise(F.lit(0)), low)
+        if level == LEVELS - 1:
+            # the last bucket, a document as a rule, when it misses less than its absence
+            end = end + F.when(F.col("first").isNotNull() & (left > 0) & (F.col("first.n") - left < left), F.lit(1 << low)).otherwise(F.lit(0))
+        state = cut(
+            joined.select(
+                "source_name", "copies", F.when(F.col("open"), left).otherwise(F.col("rest")).alias("rest"), F.when(F.col("open"), prefix).otherwise(F.col("prefix")).alias("prefix"),
+                F.when(F.col("open"), end).otherwise(F.col("threshold")).alias("threshold"), (F.col("open") & F.col("first").isNotNull() & (left > 0)).alias("open"),
+            )
+        )
+    return state.select("source_name", "copies", "threshold")
 
 
 def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -106,20 +90,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None
     the most copies of one. Documents of other sources or none, and those without tokens, are not taken. Target rows
     of one name are added up, with the greatest max_repeats; a null or negative share or cap counts as 0.
     """
-    spark = documents.sparkSession
     named = mix_targets.where(F.col("source_name").isNotNull()).groupBy(source_name(F.col("source_name")).alias("source_name"))
-    wanted = named.agg(F.sum(F.greatest(F.col("target_share"), F.lit(0.0))).alias("t"), F.max("max_repeats").alias("r")).limit(100_000).collect()
-    targets = {r["source_name"]: (float(r["t"] or 0), max(0, int(r["r"] or 0))) for r in wanted}
-    listed = documents.withColumn("source_name", source_name(F.col("source"))).where(F.col("source_name").isin(sorted(targets)))
+    share, most = F.coalesce(F.sum(F.greatest(F.col("target_share"), F.lit(0.0))), F.lit(0.0)), F.greatest(F.max("max_repeats"), F.lit(0))
+    targets = cut(named.agg(share.alias("target_share"), F.coalesce(most, F.lit(0)).cast("int").alias("max_repeats")))
+    listed = documents.withColumn("source_name", source_name(F.col("source"))).join(targets.select("source_name"), "source_name", "left_semi")
     rows = cut(token_counts(listed, path, "source_name").where(F.col("n_tokens") > 0).withColumn("draw", _draw()))
-    plan = plan_mix(rows, targets, total)
-    copies = F.lit(0)
-    for name, s in plan.items():
-        copies = F.when(F.col("source_name") == name, F.lit(s.copies) + (F.col("draw") < s.threshold).cast("int")).otherwise(copies)
-    taken = rows.select("doc_id", "source_name", "n_tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
+    copies = F.col("copies") + (F.col("draw") < F.col("threshold")).cast("int")
+    taken = _beside(rows, plan_mix(rows, targets, total), SALTS).select("doc_id", "source_name", "n_tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
     given = taken.groupBy("source_name").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    goal = spark.createDataFrame([(n, s.target, s.repeats) for n, s in plan.items()], "source_name string, target_share double, max_repeats int")
-    beside = goal.join(given, "source_name", "left").fillna(0, ["documents", "tokens", "most_copies"])
+    beside = targets.join(given, "source_name", "left").fillna(0, ["documents", "tokens", "most_copies"])
     # one row a source of the targets, so the window over all of them is small
     whole = F.sum("tokens").over(Window.partitionBy())
     actual = F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))
