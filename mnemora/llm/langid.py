@@ -7,12 +7,14 @@ model is trained twice: the second time on the sentences whose label the first m
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -62,7 +64,8 @@ def sentences(text: str | None) -> list[str]:
         words = line.split()
         if len(words) < 2:
             continue
-        plain = sum(1 for w in words if _WORD.fullmatch(w.strip(".,;:!?…\"'()«»“”„¿¡")))
+        bare_words = [w.strip(".,;:!?…\"'()«»“”„¿¡") for w in words]
+        plain = sum(1 for w in bare_words if w.isalpha() or _WORD.fullmatch(w))
         if plain * 2 <= len(words) or (plain < len(words) and not line[-1] in ".!?…" and _CODELIKE.search(line)):
             continue
         if line[-1] not in ".!?…\"»”)’;,:" and len(words) <= 6:
@@ -79,20 +82,27 @@ def sentences(text: str | None) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    """The words of a sentence in small letters, without names: runs of two or more capitalised words.
+    """``spoken`` without the letters."""
+    return spoken(text)[0]
+
+
+def spoken(text: str) -> tuple[list[str], int]:
+    """The words of a sentence in small letters, without names: runs of two or more capitalised words; and the letters
+    of all its words.
 
     A sentence all in capitals, or without any, shows no names; there rare words count for little instead.
     """
-    found = list(_WORD.finditer(text))
-    capital = [m.group()[0].isupper() for m in found]
-    if sum(capital) == len(found):
-        return [m.group().lower() for m in found]
-    kept = []
+    plain = _WORD.findall(text)
+    letters = sum(map(len, plain))
+    capital = [w[0].isupper() for w in plain]
+    if sum(capital) == len(plain) or not any(a and b for a, b in pairwise(capital)):
+        return [w.lower() for w in plain], letters
+    found, kept = list(_WORD.finditer(text)), []
     for i, m in enumerate(found):
         beside = (i > 0 and capital[i - 1] and text[found[i - 1].end() : m.start()] == " ") or (i + 1 < len(found) and capital[i + 1] and text[m.end() : found[i + 1].start()] == " ")
         if not (capital[i] and beside):
             kept.append(m.group().lower())
-    return kept
+    return kept, letters
 
 
 def bare(text: str) -> str:
@@ -128,11 +138,12 @@ class LanguageModel:
         weight = 1.0 if w in self.common else RARE
         return np.concatenate([weight * self.table[b].sum(0), [weight * len(b), weight == 1.0]])
 
-    def scores(self, texts: list[str], cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities by language, and the share of each text's words that are common in training."""
-        flat, sizes = [], []
+    def scores(self, texts: list[str], cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probabilities by language, the share of each text's words that are common in training, and its letters."""
+        flat, sizes, lengths = [], [], []
         for t in texts:
-            ws = words(t)
+            ws, letters = spoken(t)
+            lengths.append(letters)
             sizes.append(len(ws))
             for w in ws:
                 v = cache.get(w)
@@ -151,24 +162,24 @@ class LanguageModel:
         n = np.maximum(total[:, k : k + 1], 1e-9)
         z = (total[:, :k] / n + self.bias) / self.temperature
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True)), total[:, k + 1] / np.maximum(np.array(sizes, float), 1)
+        return z - np.log(np.exp(z).sum(1, keepdims=True)), total[:, k + 1] / np.maximum(np.array(sizes, float), 1), np.array(lengths, np.int64)
 
 
-def train(texts: list[str], y: np.ndarray, k: int, epochs: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
+def train(texts: list[tuple[list[str], ...]], y: np.ndarray, k: int, epochs: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
     """Stochastic gradient descent (AdaGrad steps, batches of 64) over mean bucket embeddings and a linear softmax.
 
-    Every text is seen as written, without accents and in small letters in turn. Gives (table, bias, common words).
+    ``texts``: the words of each in its ``variants``, which are seen in turn. Gives (table, bias, common words).
     """
     rng = np.random.default_rng(seed)
     known: dict[str, list[int]] = {}
 
-    def buckets(t: str) -> np.ndarray:
+    def buckets(said: list[str]) -> np.ndarray:
         out: list[int] = []
-        for w in words(t):
+        for w in said:
             out += known.get(w) or known.setdefault(w, grams(w))
         return np.asarray(out, np.int64)
 
-    forms = [[buckets(v) for v in variants(t)] for t in texts]
+    forms = [[buckets(said) for said in t] for t in texts]
     e = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, b = np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32)
     ge, gw, gb = np.full((BUCKETS, 1), 1e-4, np.float32), np.full_like(w, 1e-4), np.full_like(b, 1e-4)
@@ -198,11 +209,11 @@ def train(texts: list[str], y: np.ndarray, k: int, epochs: int, seed: int = 7) -
             w -= rate * dw / np.sqrt(gw)
             b -= rate * db / np.sqrt(gb)
             once, inverse = np.unique(flat, return_inverse=True)
-            de = np.zeros((len(once), DIMENSIONS), np.float32)
-            np.add.at(de, inverse, dh[row].astype(np.float32))
+            sorted_rows = np.argsort(inverse, kind="stable")
+            de = np.add.reduceat(dh[row[sorted_rows]].astype(np.float32), np.searchsorted(inverse[sorted_rows], np.arange(len(once))), axis=0)
             ge[once] += (de**2).mean(1, keepdims=True)
             e[once] -= 0.1 * de / np.sqrt(ge[once])
-    often = Counter(v for t in texts for v in {x for form in variants(t) for x in words(form)})
+    often = Counter(v for t in texts for v in {x for form in t for x in form})
     return (e @ w).astype(np.float32), b, frozenset(v for v, n in often.items() if n >= COMMON)
 
 
@@ -214,26 +225,26 @@ def code_of(label: Column) -> Column:
 def training_sample(documents: DataFrame, languages: DataFrame, documents_used: int = DOCUMENTS, sentences_used: int = SENTENCES) -> pd.DataFrame:
     """(label, text) rows, a sentence each, of about ``documents_used`` labelled documents.
 
-    Documents are chosen by a hash of ``doc_id``, and so are sentences where there are more than twice ``sentences_used``:
-    what comes to the driver is bounded by these two whatever the number and length of the texts.
+    Documents are chosen by a hash of ``doc_id``, and so are sentences, whole, where there are more than twice
+    ``sentences_used``: that many, within chance, come to the driver, whatever the number and length of the texts.
     """
-    codes = [r[0] for r in languages.where(F.col("lang_code").isNotNull()).select(F.lower("lang_code")).distinct().limit(1_000).collect()]
-    labelled = documents.select("doc_id", code_of(F.col("lang")).alias("label"), "text").where(F.col("label").isin(codes) & F.col("text").isNotNull())
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share, even = F.lit(0.0), documents_used / max(1, sum(counts.values()))
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, max(even, LEAST / n)))).otherwise(share)
+    codes = languages.where(F.col("lang_code").isNotNull()).select(F.lower("lang_code").alias("label")).distinct()
+    labelled = documents.select("doc_id", code_of(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull()).join(codes, "label", "left_semi")
+    counts = cut(labelled.groupBy("label").agg(F.count("*").alias("n")))
+    even = documents_used / max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    shares = counts.select("label", F.least(F.lit(1.0), F.greatest(F.lit(even), F.lit(LEAST) / F.col("n"))).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    drawn = labelled.join(shares, "label").where(draw < F.col("share")).select("doc_id", "label", "text")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, label, s[:2_000]) for d, label, t in zip(b["doc_id"], b["label"], b["text"], strict=True) for i, s in enumerate(sentences(t))]
+            rows = [(d, i, label, s) for d, label, t in zip(b["doc_id"], b["label"], b["text"], strict=True) for i, s in enumerate(sentences(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "nth", "label", "text"])
 
-    said = cut(labelled.where(draw < share).mapInPandas(split, "doc_id long, nth int, label string, text string"))
+    said = cut(drawn.mapInPandas(split, "doc_id long, nth int, label string, text string"))
     part = min(1.0, 2 * sentences_used / max(1, said.count()))
-    picked = said.where(F.pmod(F.xxhash64("doc_id", "nth"), F.lit(1_000_000)) / 1_000_000 < part)
-    return picked.orderBy("doc_id", "nth").limit(3 * sentences_used).select("label", "text").toPandas()
+    picked = said.where(F.pmod(F.xxhash64("doc_id", "nth"), F.lit(1_000_000)) / 1_000_000 < part).toPandas()
+    return picked.sort_values(["doc_id", "nth", "label", "text"])[["label", "text"]].reset_index(drop=True)
 
 
 def fit(sample: pd.DataFrame, sentences_used: int = SENTENCES, accepted_error: float = ACCEPTED_ERROR, seed: int = 7) -> LanguageModel | None:
@@ -260,19 +271,20 @@ def fit(sample: pd.DataFrame, sentences_used: int = SENTENCES, accepted_error: f
         if times[key] <= SAME and len(picked) < sentences_used:
             picked.append((settled.get(key, label), text, key in settled))
     texts = [p[1] for p in picked]
+    said_of = [tuple(words(v) for v in variants(t)) for t in texts]
     codes = sorted({p[0] for p in picked})
     y = np.array([codes.index(p[0]) for p in picked])
-    table, bias, common = train(texts, y, len(codes), 6, seed)
+    table, bias, common = train(said_of, y, len(codes), 6, seed)
     first = LanguageModel(codes, table, bias, common)
     said = first.scores(texts, {})[0].argmax(1)
     kept = [c for i, c in enumerate(codes) if (y == i).any() and (said[y == i] == i).mean() >= 1 / 3 and (said == i).sum() > 0]
     if not kept:
         return first
     right = np.array([(a == b or p[2]) and codes[b] in kept for a, b, p in zip(said, y, picked, strict=True)])
-    good = [t for t, r in zip(texts, right, strict=True) if r]
+    good, good_said = [t for t, r in zip(texts, right, strict=True) if r], [t for t, r in zip(said_of, right, strict=True) if r]
     z = np.array([kept.index(codes[c]) for c in y[right]])
     held = np.arange(len(good)) % 10 == 9
-    table, bias, common = train([t for t, h in zip(good, held, strict=True) if not h], z[~held], len(kept), 12, seed)
+    table, bias, common = train([t for t, h in zip(good_said, held, strict=True) if not h], z[~held], len(kept), 12, seed)
     model = LanguageModel(kept, table, bias, common)
     if held.sum() >= 20:
         tested = [t for t, h in zip(good, held, strict=True) if h]
@@ -294,6 +306,18 @@ def fit(sample: pd.DataFrame, sentences_used: int = SENTENCES, accepted_error: f
     return model
 
 
+_FITTED: dict[str, LanguageModel | None] = {}
+
+
+def fitted(sample: pd.DataFrame) -> LanguageModel | None:
+    """``fit``, kept for the last sample: two queries over the same documents train once."""
+    key = hashlib.sha256(pd.util.hash_pandas_object(sample, index=False).to_numpy().tobytes()).hexdigest()
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = fit(sample)
+    return _FITTED[key]
+
+
 def _path(logp: np.ndarray, switch: float) -> np.ndarray:
     """The most likely languages of successive sentences when each change costs ``switch``."""
     n, k = logp.shape
@@ -310,7 +334,7 @@ def _path(logp: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
-def segments(model: LanguageModel, said: list[str], logp: np.ndarray, known: np.ndarray, switch: float = SWITCH) -> list[tuple[str, float, int]]:
+def segments(model: LanguageModel, logp: np.ndarray, known: np.ndarray, letters: np.ndarray, switch: float = SWITCH) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) of each longest run of sentences in one language.
 
     A sentence under the rejection threshold, or with hardly a word that is common in training, says nothing: it goes with
@@ -320,10 +344,9 @@ def segments(model: LanguageModel, said: list[str], logp: np.ndarray, known: np.
     accepted = (p.max(1) >= model.threshold) & (known >= 0.2)
     if not accepted.any():
         total = logp.sum(0)
-        path = np.full(len(said), int(total.argmax()))
+        path = np.full(len(logp), int(total.argmax()))
     else:
         path = _path(np.where(accepted[:, None], np.maximum(logp, -12.0), 0.0), switch)
-    letters = np.array([sum(map(len, _WORD.findall(s))) for s in said])
     cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     out = []
     for a, b in zip(cuts, [*cuts[1:], len(path)], strict=True):
@@ -351,12 +374,13 @@ def document_languages(documents: DataFrame, model: LanguageModel | None) -> Dat
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 each = [sentences(t) for t in part["text"]]
-                logp, known = model.scores([s for x in each for s in x], cache)
+                logp, known, sizes = model.scores([s for x in each for s in x], cache)
                 out, done = [], 0
                 for doc, label, said in zip(part["doc_id"], part["label"], each, strict=True):
                     if not said:
                         continue
-                    runs = segments(model, said, logp[done : done + len(said)], known[done : done + len(said)])
+                    own = slice(done, done + len(said))
+                    runs = segments(model, logp[own], known[own], sizes[own])
                     done += len(said)
                     sums: dict[str, list[float]] = {}
                     for lang, sure, letters in runs:

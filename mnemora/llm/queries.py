@@ -30,7 +30,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    model = langid.fit(langid.training_sample(documents, table(spark, d, "languages")))
+    model = langid.fitted(langid.training_sample(documents, table(spark, d, "languages")))
     return langid.document_languages(documents, model)
 
 
