@@ -88,34 +88,48 @@ def fractional(counts: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.nda
     capacity = len(counts) - 1
     lengths = np.flatnonzero(counts)
     n, m = counts[lengths].astype(float), len(lengths)
-    fillings = first_fillings(lengths, capacity).astype(np.float32)
-    known, used = len(fillings), np.zeros(len(fillings))
+    rows = list(first_fillings(lengths, capacity))
+    held = [np.flatnonzero(r) for r in rows]
+    # a column a filling: a round changes the prices of one filling's lengths, and by these the worth of all
+    of = np.zeros((m, 2 * len(rows) + 64))
+    of[:, : len(rows)] = np.array(rows).T
+    used = np.zeros(of.shape[1])
     weight, covered, bound = np.log(lengths * n), np.zeros(m), proven(counts)
+    weight -= weight.max()
+    price = np.exp(weight) / n
+    worths, dual = price @ of[:, : len(rows)], float((price * n).sum())
     rounds = 0
     while True:
         rounds += 1
-        price = np.exp(weight - weight.max()) / n
-        dual = float((price * n).sum())
-        worths = fillings[:known] @ price.astype(np.float32)
         best = int(worths.argmax())
-        if dual > (1 + LAZY) * bound * float(worths[best]):
+        if dual > (1 + LAZY) * bound * worths[best]:
             worth = np.full(capacity + 1, -np.inf)
             worth[lengths] = price
             chosen, value = best_filling(worth, capacity)
             bound = max(bound, dual / value)
-            if value > float(worths[best]) * (1 + 1e-5):
-                if known == len(fillings):
-                    fillings, used = np.concatenate([fillings, np.zeros_like(fillings)]), np.concatenate([used, np.zeros_like(used)])
-                fillings[known] = np.bincount(np.searchsorted(lengths, chosen), minlength=m)
-                best, known = known, known + 1
-        held = np.flatnonzero(fillings[best])
-        each = fillings[best][held].astype(float)
-        often = float((n[held] / each).min())
+            if value > worths[best] * (1 + 1e-9):
+                best = len(rows)
+                rows.append(np.bincount(np.searchsorted(lengths, chosen), minlength=m))
+                held.append(np.flatnonzero(rows[best]))
+                if best == of.shape[1]:
+                    of, used = np.concatenate([of, np.zeros_like(of)], axis=1), np.concatenate([used, np.zeros_like(used)])
+                of[:, best] = rows[best]
+                worths = np.append(worths, value)
+        at = held[best]
+        each = rows[best][at]
+        often = float((n[at] / each).min())
         used[best] += often
-        covered[held] += often * each / n[held]
-        weight[held] -= STEP * often * each / n[held]
-        if rounds % m == 0 and covered.min() > 0 and used.sum() <= (1 + eps) * bound * covered.min():
-            return fillings[:known].astype(np.int64), used[:known] / covered.min(), bound
+        covered[at] += often * each / n[at]
+        weight[at] -= STEP * often * each / n[at]
+        change = np.exp(weight[at]) / n[at] - price[at]
+        price[at] += change
+        worths += change @ of[at, : len(rows)]
+        dual += float((change * n[at]).sum())
+        if rounds % m == 0:
+            # sums made anew, so that errors don't add up
+            worths, dual = price @ of[:, : len(rows)], float((price * n).sum())
+            if covered.min() > 0 and used.sum() <= (1 + eps) * bound * covered.min():
+                return np.array(rows), used[: len(rows)] / covered.min(), bound
 
 
 @dataclass
