@@ -161,6 +161,19 @@ def test_hierarchy_edges(spark):
     assert rows(hierarchy.descendants(got)) == [("c", "d", 1)]
 
 
+def test_hierarchy_of_hot_targets_and_long_rings(spark, monkeypatch):
+    """Half the nodes lead to one; a ring longer than what leads into it, its smallest id far from the entry."""
+    monkeypatch.setattr(hierarchy._look_up, "__defaults__", (5, 4))
+    ids = [f"n{i:03}" for i in range(160)]
+    nxt = {i: "n000" if k < 80 else None for k, i in enumerate(ids)} | {"n000": None, "n001": "n002"}
+    ring, tail = ids[90:121], ids[121:160]
+    nxt |= {a: b for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)} | {a: b for a, b in zip(tail, [*tail[1:], ring[7]], strict=True)}
+    nxt["n085"] = "n086"
+    nxt["n086"] = "gone"
+    df = spark.createDataFrame([(i, nxt[i], T[0]) for i in ids], "id STRING, redirect_to STRING, updated_at TIMESTAMP_NTZ")
+    assert rows(hierarchy.object_hierarchy(df)) == brute_hierarchy(nxt, set(ids))
+
+
 # Change feeds ------------------------------------------------------------------------------------------------------
 
 
