@@ -6,7 +6,9 @@ Errors come as ``MemoryError_`` with the operator's text. Every change is one pu
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,37 @@ class MemoryError_(ValueError):
     """A change that the memory refuses."""
 
 
-class Memory:
-    """``clock`` gives the time of a change; fixed in tests."""
+def number_text(x: float) -> str:
+    """A number as JSON writes it: whole ones without a point, others with as many digits as tell them apart."""
+    if float(x).is_integer() and abs(x) < 1e21:
+        return str(x) if isinstance(x, int) else format(Decimal(repr(x)), "f").removesuffix(".0")
+    text = repr(float(x))
+    if "e" not in text and 0 < abs(x) < 1e-6:
+        text = f"{x:e}"
+    digits, _, power = text.partition("e")
+    return f"{digits.removesuffix('.0')}e{'+' if int(power) > 0 else '-'}{abs(int(power))}" if power else text
+
 
-    def __init__(self, spark: SparkSession, folder: str, clock=lambda: datetime.now(timezone.utc).replace(tzinfo=None), gate=None) -> None:
+class Memory:
+    """``clock`` gives the time of a change; fixed in tests. The other functions are the models, each over DataFrames:
+
+    ``gate`` (contexts, most) who may read a context; ``agent_gate`` (requests, policies) which agent may; ``extract``
+    (texts) claims and relationships; ``decide`` (candidates, claims held) with verdict and reasoning; ``policy``
+    (decisions) with action and acl_ref; ``represent`` (texts, key, text, kind); ``embed`` (texts, key, text); ``sign``
+    and ``verify``, columns of a segment's payload hash and of its row. Without one the operators' own is used.
+    ``slow_model``: extraction asked for as asynchronous, by a model service as a rule; none unless given.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, clock=lambda: datetime.now(timezone.utc).replace(tzinfo=None), gate: Callable | None = None, *, agent_gate: Callable = access.agent_gate,
+        extract: Callable = extraction.by_patterns, decide: Callable = extraction.verdicts, policy: Callable = extraction.actions, represent: Callable = retrieval.represent,
+        embed: Callable = retrieval.hash_embeddings, sign: Callable = segments.sign, verify: Callable = segments.verify, slow_model: Callable | None = None,
+    ) -> None:
         self.spark, self.store, self.clock = spark, Store(spark, folder), clock
-        self.gate = gate or access.context_gate
+        self.gate, self.agent_gate = gate or access.context_gate, agent_gate
+        self.extraction_model, self.decision_model, self.policy_model = extract, decide, policy
+        self.representation_model, self.embedding_model, self.sign, self.verify = represent, embed, sign, verify
+        self.slow_model = slow_model
 
     # Helpers ---------------------------------------------------------------------------------------------------
 
@@ -34,10 +61,11 @@ class Memory:
         names = [c.strip().split()[0] for c in schema.split(";")]
         return self.spark.createDataFrame([tuple(values.get(n) for n in names)], schema.replace(";", ","))
 
-    def _event(self, operation: str, kind: str, entity_id: str, actor: str) -> DataFrame:
-        n, at = self.store.last_sequence() + 1, self.clock()
-        event = (n, f"event:{n}", at.isoformat(timespec="milliseconds") + "Z", kind, entity_id, operation, f"{kind}:{entity_id}:{operation}", actor)
-        return self.spark.createDataFrame([event], TABLES["journal"])
+    def _event(self, operation: str, kind: str, entity_id: str, actor: str, *then: str) -> DataFrame:
+        """One event, and one more for each operation in ``then``."""
+        n, at = self.store.last_sequence() + 1, self.clock().isoformat(timespec="milliseconds") + "Z"
+        events = [(n + i, f"event:{n + i}", at, kind, entity_id, o, f"{kind}:{entity_id}:{o}", actor) for i, o in enumerate((operation, *then))]
+        return self.spark.createDataFrame(events, TABLES["journal"])
 
     def _write(self, changes: dict[str, DataFrame], operation: str, kind: str, entity_id: str, actor: str) -> str:
         self.store.commit({**changes, "journal": self._event(operation, kind, entity_id, actor)})
@@ -50,24 +78,27 @@ class Memory:
         at = F.lit(self.clock())
         return outcome.accepted.withColumn("created_at", at).withColumn("updated_at", at)
 
-    def _merged(self) -> bool:
-        return bool(self.store.manifest()["tables"].get("redirects"))
-
     def aliases(self) -> DataFrame:
-        if not self._merged():
-            return self.spark.createDataFrame([], "alias STRING, canonical STRING")
-        return identity.closure(self.store.rows("redirects"))
+        """(alias, canonical) of every merged id; kept up to date merge by merge."""
+        kept = self.store.manifest()["tables"]
+        if kept.get("redirects") and not kept.get("closure"):
+            return identity.closure(self.store.rows("redirects"))
+        return self.store.rows("closure").drop("_seq")
 
     def resolve(self, object_id: str) -> str:
-        if not self._merged():
+        kept = self.store.manifest()["tables"]
+        if not kept.get("redirects"):
             return object_id
-        found = identity.closure(self.store.rows("redirects"), keep_cycles=True).where(F.col("alias") == object_id).collect()
+        if kept.get("closure"):
+            found = self.store.rows("closure").where(F.col("alias") == object_id).collect()
+        else:
+            found = identity.closure(self.store.rows("redirects"), keep_cycles=True).where(F.col("alias") == object_id).collect()
         if found and found[0]["canonical"] is None:
             raise MemoryError_(f"Circular redirect detected: {object_id}")
         return found[0]["canonical"] if found else object_id
 
     def _rows(self, table: str, where) -> list[dict]:
-        return [r.asDict(recursive=True) for r in self.store.table(table).where(where).orderBy("_seq").drop("_seq").collect()]
+        return [r.asDict(recursive=True) for r in self.store.table(table).where(where).orderBy("_first_seq").drop("_seq", "_first_seq").collect()]
 
     # Objects, facts, contexts ----------------------------------------------------------------------------------
 
@@ -92,7 +123,7 @@ class Memory:
 
     def create_claim(self, subject_id: str, predicate: str, object_or_value, evidence_refs: list[str], confidence: float = 0.5, sensitivity: str = "internal", tenant_id: str = "default", actor: str = "system", **temporal) -> str:
         number = float(object_or_value) if isinstance(object_or_value, int | float) else None
-        shown = (f"{object_or_value:g}" if number is not None else object_or_value)
+        shown = number_text(object_or_value) if number is not None else object_or_value
         batch = self._row(
             "ord INT; subject_id STRING; predicate STRING; object_or_value STRING; value_num DOUBLE; evidence_refs ARRAY<STRING>; confidence DOUBLE; sensitivity STRING; tenant_id STRING",
             ord=0, subject_id=subject_id, predicate=predicate, object_or_value=shown, value_num=number, evidence_refs=evidence_refs, confidence=float(confidence), sensitivity=sensitivity, tenant_id=tenant_id,
@@ -134,7 +165,7 @@ class Memory:
 
     def resolve_gap(self, id: str, actor: str = "system") -> str:
         batch = self._row("id STRING; at TIMESTAMP_NTZ", id=id, at=self.clock())
-        out = mutations.resolve_gaps(batch, self.store.table("gaps").drop("_seq"))
+        out = mutations.resolve_gaps(batch, self.store.table("gaps").drop("_seq", "_first_seq"))
         wrong = out.rejected.collect()
         if wrong:
             raise MemoryError_(wrong[0]["error"])
@@ -144,12 +175,17 @@ class Memory:
         batch = self._row("ord INT; from_id STRING; into_id STRING", ord=0, from_id=from_id, into_id=into_id)
         objects = self.store.table("objects")
         edge = self._one(mutations.merge_objects(batch, objects, self.aliases())).first()
-        moved = objects.where(F.col("id") == edge["from_id"]).withColumn("lifecycle_state", F.lit("merged")).withColumn("redirect_to", F.lit(edge["into_id"])).withColumn("updated_at", F.lit(self.clock())).drop("_seq")
+        moved = objects.where(F.col("id") == edge["from_id"]).withColumn("lifecycle_state", F.lit("merged")).withColumn("redirect_to", F.lit(edge["into_id"])).withColumn("updated_at", F.lit(self.clock())).drop("_seq", "_first_seq")
         redirect = self._row("from_id STRING; into_id STRING", from_id=edge["from_id"], into_id=edge["into_id"])
-        return self._write({"objects": moved, "redirects": redirect}, "merge", "object", edge["from_id"], actor)
+        # both ends are what they stand for already, so what led to the one now leads to the other
+        led = F.when(F.col("canonical") == edge["from_id"], F.lit(edge["into_id"])).otherwise(F.col("canonical"))
+        closure = self.aliases().select("alias", led.alias("canonical")).unionByName(redirect.select(F.col("from_id").alias("alias"), F.col("into_id").alias("canonical")))
+        changes = {"objects": moved, "redirects": redirect, "closure": closure, "journal": self._event("merge", "object", edge["from_id"], actor)}
+        self.store.commit(changes, replace=("closure",))
+        return edge["from_id"]
 
     def mark_unavailable(self, evidence_id: str, actor: str = "system") -> str:
-        out = mutations.mark_unavailable(self._row("id STRING", id=evidence_id), self.store.table("evidence").drop("_seq"))
+        out = mutations.mark_unavailable(self._row("id STRING", id=evidence_id), self.store.table("evidence").drop("_seq", "_first_seq"))
         wrong = out.rejected.collect()
         if wrong:
             raise MemoryError_(wrong[0]["error"])
@@ -157,10 +193,10 @@ class Memory:
 
     # Proposals -------------------------------------------------------------------------------------------------
 
-    def propose(self, type: str, payload: dict, evidence_refs: list[str] | None = None, extractor: str = "manual", extractor_version: str = "1", actor: str = "system") -> str:
-        """A candidate; its evidence, if it names any, must be held and available."""
+    def propose(self, type: str, payload: dict, evidence_refs: list[str] | None = None, extractor: str = "manual", extractor_version: str = "1", actor: str = "system", tenant_id: str = "default") -> str:
+        """A candidate; its evidence, if it names any, must be held and available. Candidates belong to no tenant."""
         refs = evidence_refs or []
-        wrong = mutations.evidence_errors(self._row("k INT; refs ARRAY<STRING>", k=0, refs=refs), "k", "refs", self.store.table("evidence")).collect()
+        wrong = mutations.evidence_errors(self._row("k INT; refs ARRAY<STRING>", k=0, refs=refs), "k", "refs", self.store.table("evidence", where=F.col("id").isin(refs))).collect()
         if wrong:
             raise MemoryError_(wrong[0]["error"])
         key = f"cand:{type}:{self.store.last_sequence() + 1}"
@@ -170,11 +206,11 @@ class Memory:
     def decide(self, candidate_id: str, actor: str = "system") -> dict:
         """The verdict on a candidate, given once."""
         c = self.store.get("candidates", candidate_id)
-        if self.store.table("decisions").where(F.col("candidate_ref") == candidate_id).limit(1).count():
-            raise MemoryError_(f"Candidate already decided: {candidate_id}")
-        batch = self._row("ord INT; type STRING; evidence_refs ARRAY<STRING>", ord=0, type=c["type"], evidence_refs=c["evidence_refs"])
-        got = extraction.decide(batch, self.store.table("claims").count()).first()
         key = f"dec:{candidate_id}"
+        if self.decisions_of(candidate_id):
+            raise MemoryError_(f"Candidate already decided: {candidate_id}")
+        batch = self._row("ord INT; id STRING; type STRING; payload STRING; evidence_refs ARRAY<STRING>", ord=0, id=candidate_id, type=c["type"], payload=c["payload"], evidence_refs=c["evidence_refs"])
+        got = self.decision_model(batch, self.store.table("claims").count()).first()
         row = self.spark.createDataFrame([(key, candidate_id, got["verdict"], got["reasoning"], "deterministic", self.clock())], TABLES["decisions"])
         self._write({"decisions": row}, "decide", "decision", key, actor)
         return {"id": key, "verdict": got["verdict"], "reasoning": got["reasoning"]}
@@ -182,13 +218,25 @@ class Memory:
     def apply_policy(self, decision_id: str, actor: str = "system") -> dict:
         """What follows from a decision, given once; the memory itself is not changed by it."""
         d = self.store.get("decisions", decision_id)
-        if self.store.table("policies").where(F.col("decision_ref") == decision_id).limit(1).count():
+        if self.policies_of(decision_id):
             raise MemoryError_(f"Decision already policy-applied: {decision_id}")
-        action = {"Accept": "Allow", "Escalate": "Quarantine"}.get(d["verdict"], "Deny")
+        got = self.policy_model(self._row("id STRING; verdict STRING; reasoning STRING", id=decision_id, verdict=d["verdict"], reasoning=d["reasoning"])).first().asDict()
         key = f"pol:{decision_id}"
-        row = self.spark.createDataFrame([(key, decision_id, action, None, self.clock())], TABLES["policies"])
+        row = self.spark.createDataFrame([(key, decision_id, got["action"], got.get("acl_ref"), self.clock())], TABLES["policies"])
         self._write({"policies": row}, "apply_policy", "policy", key, actor)
-        return {"id": key, "action": action}
+        return {"id": key, "action": got["action"]}
+
+    def decisions_of(self, candidate_id: str) -> list[dict]:
+        return self._rows("decisions", F.col("candidate_ref") == candidate_id)
+
+    def policies_of(self, decision_id: str) -> list[dict]:
+        return self._rows("policies", F.col("decision_ref") == decision_id)
+
+    def versions_of(self, item_id: str) -> list[dict]:
+        return self._rows("source_versions", F.col("source_item_id") == item_id)
+
+    def representations_of(self, evidence_id: str) -> list[dict]:
+        return self._rows("representations", F.col("evidence_id") == evidence_id)
 
     # Texts -----------------------------------------------------------------------------------------------------
 
@@ -205,50 +253,51 @@ class Memory:
         return {"source_id": key, **report}
 
     def extract(self, evidence_id: str, content: str, actor: str = "system", tenant_id: str = "default", model=None) -> dict:
-        """Facts of one text through proposal, decision and policy into the memory; counts of what became of them.
-
-        ``model``: a function of the texts' DataFrame (evidence_id, content) giving claims and relationships shaped as
-        ``extract_claims`` and ``extract_relationships`` do; patterns if not given.
-        """
+        """Facts of one text through proposal, decision and policy into the memory: a batch of one for ``extract_all``."""
         held = self.store.get("evidence", evidence_id)
         if held["state"] != "available":
             raise MemoryError_(f"Evidence unavailable (quarantined): {evidence_id}")
-        texts = self._row("evidence_id STRING; content STRING", evidence_id=evidence_id, content=content)
-        claims, rels = model(texts) if model else (extraction.extract_claims(texts, "evidence_id", "content"), extraction.extract_relationships(texts, "evidence_id", "content"))
-        found = [("ClaimCandidate", r.asDict()) for r in claims.collect()] + [("RelationshipCandidate", r.asDict()) for r in rels.collect()]  # of one text
-        counts = {"candidates": len(found), "accepted": 0, "quarantined": 0, "rejected": 0}
-        if not found:
-            return counts
-        batch = self.spark.createDataFrame([(i, kind, [evidence_id], json.dumps(r)) for i, (kind, r) in enumerate(found)], "ord INT, type STRING, evidence_refs ARRAY<STRING>, payload STRING")
-        decided = extraction.decide(batch, self.store.table("claims").count()).orderBy("ord").collect()
-        tag = self.store.version() + 1
-        ids = [(f"cand:{r['type']}:{tag}:{r['ord']}", r) for r in decided]
-        proposals = self.spark.createDataFrame([(i, r["type"], r["payload"], [evidence_id], "async-extraction" if model else "pattern", "1.0.0", self.clock()) for i, r in ids], TABLES["candidates"])
-        decisions = self.spark.createDataFrame([(f"dec:{i}", i, r["verdict"], r["reasoning"], "deterministic", self.clock()) for i, r in ids], TABLES["decisions"])
-        policies = self.spark.createDataFrame([(f"pol:{i}", f"dec:{i}", r["action"], None, self.clock()) for i, r in ids], TABLES["policies"])
-        self._write({"candidates": proposals, "decisions": decisions, "policies": policies}, "apply_policy", "policy", f"pol:{ids[0][0]}", actor)
-        for r in decided:
-            counts[{"Allow": "accepted", "Quarantine": "quarantined", "Deny": "rejected"}[r["action"]]] += 1
-            if r["action"] == "Allow":
-                v = json.loads(r["payload"])
-                if r["type"] == "ClaimCandidate":
-                    self.create_claim(self._object(v["subject_name"], tenant_id, actor), v["predicate"], v["object_or_value"], [evidence_id], v["confidence"], tenant_id=tenant_id, actor=actor)
-                else:
-                    self.create_relationship(self._object(v["source_name"], tenant_id, actor), v["relation_type"], self._object(v["target_name"], tenant_id, actor), [evidence_id], v["confidence"], tenant_id=tenant_id, actor=actor)
-        return counts
-
-    def _object(self, name: str, tenant_id: str, actor: str) -> str:
-        same = self.store.table("objects").where(F.col("name") == name).orderBy("_seq").limit(1).collect()
-        return same[0]["id"] if same else self.create_object("entity", name, tenant_id=tenant_id, actor=actor)
+        texts = self._row("ord INT; evidence_id STRING; content STRING; tenant_id STRING", ord=0, evidence_id=evidence_id, content=content, tenant_id=tenant_id)
+        got = self.extract_all(texts, actor, model).first()
+        return {c: got[c] if got else 0 for c in ("candidates", "accepted", "quarantined", "rejected")}
+
+    def extract_all(self, texts: DataFrame, actor: str = "system", model=None) -> DataFrame:
+        """``texts`` (ord, evidence_id, content, tenant_id) taken in order, as one batch: counts per evidence of what
+        became of the facts in them. Texts whose evidence isn't held and available give nothing.
+
+        ``model``: a function of the texts giving claims and relationships shaped as ``extract_claims`` and
+        ``extract_relationships`` do; the memory's own if not given.
+        """
+        available = self.store.table("evidence").where(F.col("state") == "available").select(F.col("id").alias("evidence_id"))
+        admitted = texts.join(available, "evidence_id", "left_semi")
+        claims, rels = (model or self.extraction_model)(admitted)
+        name, version = ("async-extraction", "1.0.0-async") if model else ("regex-extraction", "1.0.0")
+        out = extraction.extracted(
+            admitted, claims, rels, self.store.table("objects"), self.aliases(), self.store.table("claims").count(), self.decision_model, self.policy_model, self.store.version() + 1
+        )
+        last = self.store.last_sequence()
+        at = F.lit(self.clock())
+        journal = mutations.journal_rows(out["events"].withColumn("actor", F.lit(actor)), ["ord", "step"], last, at)
+        stamp = {t: out[t].withColumn("created_at", at).withColumn("updated_at", at) for t in ("objects", "claims", "relationships", "candidates", "decisions", "policies")}
+        stamp["candidates"] = stamp["candidates"].withColumn("extractor", F.lit(name)).withColumn("extractor_version", F.lit(version))
+        proof = mutations.insert_absent(out["provenance"].withColumn("at", F.lit(0)), self.store.rows("provenance"), "id", "at").withColumn("learned_at", at)
+        self.store.commit({**stamp, "provenance": proof, "journal": journal}, order="ord")
+        return out["counts"]
 
     def represent(self, evidence_id: str, content: str, kind: str = "essence_nl", actor: str = "system") -> str:
         self.store.get("evidence", evidence_id)
         texts = self._row("evidence_id STRING; content STRING", evidence_id=evidence_id, content=content)
         key = f"rep:{kind}:{self.store.last_sequence() + 1}"
-        made = retrieval.represent(texts.withColumnRenamed("content", "body"), "evidence_id", "body", kind)
+        made = self.representation_model(texts.withColumnRenamed("content", "body"), "evidence_id", "body", kind)
         row = made.withColumn("id", F.lit(key)).withColumn("generator", F.lit("simple")).withColumn("generator_version", F.lit("1.0.0")).withColumn("content_hash", F.concat_ws(":", "evidence_id", "type")).withColumn("created_at", F.lit(self.clock()))
         return self._write({"representations": row}, "create", "representation", key, actor)
 
+    def embed(self, evidence_id: str, content: str) -> list[float]:
+        """A text's vector by the embedding model."""
+        texts = self._row("evidence_id STRING; content STRING", evidence_id=evidence_id, content=content)
+        made = retrieval.dense(self.embedding_model(texts, "evidence_id", "content"), "evidence_id").first()
+        return list(made["embedding"]) if made else [0.0] * 64
+
     # Queries ---------------------------------------------------------------------------------------------------
 
     def get(self, table: str, id: str) -> dict:
@@ -273,13 +322,16 @@ class Memory:
         rels = retrieval.matching_relationships(self.store.table("relationships").where(access.in_tenant(tenant_id)), query)
         return {"claims": claims, "relationships": rels, "objects": retrieval.mentioned_objects(claims, rels, self.store.table("objects"))}
 
-    def _edges(self, tenant_id: str | None) -> DataFrame:
-        return graph.edges(self.store.table("relationships"), tenant_id, "_seq")
+    def _edges(self, tenant_id: str | None = None) -> DataFrame:
+        """By every id that stands for their source; an edge written again keeps its place."""
+        return graph.stepping(graph.edges(self.store.rows("relationships"), tenant_id, "_seq"), self.aliases())
 
     def traverse(self, start: str, depth: int = 3, ordered: bool = True, tenant_id: str | None = None) -> DataFrame:
-        starts = self._row("id STRING", id=self.resolve(start))
-        found = self._edges(tenant_id)
-        return graph.ordered_walk(found, starts, depth) if ordered else graph.simple_paths(found, starts, depth)
+        """Paths of every tenant's edges, merges followed at each step; those all of whose edges are a tenant's, if named."""
+        starts = self._row("id STRING", id=start)
+        found = self._edges(None if ordered else tenant_id)
+        walked = graph.ordered_walk(found, starts, depth) if ordered else graph.simple_paths(found, starts, depth)
+        return graph.within_tenant(walked, tenant_id) if tenant_id is not None and ordered else walked
 
     def context_of(self, start: str, depth: int = 3, tenant_id: str = "default") -> dict:
         at = self.resolve(start)
@@ -292,11 +344,11 @@ class Memory:
         }
 
     def paths(self, start: str, end: str, depth: int = 4, tenant_id: str = "default") -> DataFrame:
-        """Multi-hop paths, best first, in the order of the depth-first walk where equal."""
+        """Multi-hop paths, best first, in the order of the depth-first walk where equal; nodes as the edges record them."""
         a, b = self.resolve(start), self.resolve(end)
         if a == b:
             return self.spark.createDataFrame([([a], [], 1.0)], "nodes array<string>, edge_ids array<string>, score double")
-        found = graph.resolved_edges(self._edges(tenant_id), self.aliases())
+        found = graph.standing_for(self._edges(tenant_id), self.aliases(), b)
         walk = graph.ordered_walk(found, self._row("id STRING", id=a), depth, b)
         return walk.orderBy(F.col("score").desc(), "rank").select("nodes", "edge_ids", "score")
 
@@ -309,7 +361,7 @@ class Memory:
         if agent_id:
             asked = self._row("agent_id STRING; tenant_id STRING; sensitivity STRING; purpose STRING", agent_id=agent_id, tenant_id=tenant_id, sensitivity=gate[0]["sensitivity"], purpose=purpose)
             policies = self.store.rows("agent_policies").withColumnRenamed("_seq", "ord")
-            if not access.agent_gate(asked, policies).first()["allowed"]:
+            if not self.agent_gate(asked, policies).first()["allowed"]:
                 return None
         members = self.store.table("memberships").where(F.col("context_id") == context_id)
         names = {"object": "objects", "claim": "claims", "relationship": "relationships", "evidence": "evidence", "knowledge_gap": "gaps"}
@@ -327,25 +379,31 @@ class Memory:
 
     # Segments, journal -----------------------------------------------------------------------------------------
 
-    def export_segment(self, context_id: str, purpose: str = "", expires_in_days: int | None = None, actor: str = "system") -> str:
+    def export_segment(self, context_id: str, purpose: str = "", expires_in_days: int | None = None, actor: str = "system", sensitivity: str | None = None) -> str:
         context = self.store.table("contexts").where(F.col("id") == context_id)
         if context.limit(1).count() == 0:
             raise MemoryError_(f"Context not found: {context_id}")
         key = f"seg:{context_id}:{self.store.last_sequence() + 1}"
         held = self.store.table("memberships").where(F.col("context_id") == context_id)
-        rows = segments.with_lists(segments.export_segments(context, held, expires_in_days, F.lit(self.clock())), segments.members(held)).withColumn("id", F.lit(key)).withColumn("purpose", F.lit(purpose)).withColumn("created_at", F.lit(self.clock()))
+        rows = segments.with_lists(segments.export_segments(context, held, expires_in_days, F.lit(self.clock()), self.sign), segments.members(held)).withColumn("id", F.lit(key)).withColumn("purpose", F.lit(purpose)).withColumn("created_at", F.lit(self.clock()))
+        rows = rows if sensitivity is None else rows.withColumn("sensitivity", F.lit(sensitivity))
         return self._write({"segments": rows}, "export", "segment", key, actor)
 
-    def import_segment(self, segment: DataFrame | str, apply: bool = True, actor: str = "system") -> dict:
+    def import_segment(self, segment: DataFrame | dict | str, apply: bool = False, actor: str = "system") -> dict:
+        """Checks a segment (held under an id, a row, or its fields) and, with ``apply``, that its members are held."""
+        if isinstance(segment, dict):
+            fields = self.spark.createDataFrame([], TABLES["segments"]).schema
+            segment = self.spark.read.schema(fields).json(self.spark.sparkContext.parallelize([json.dumps({f.name: segment.get(f.name) for f in fields})]))
+            segment = segment.select(*[F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name) if f.name.startswith("included_") else F.col(f.name) for f in fields])
         rows = self.store.table("segments").where(F.col("id") == segment) if isinstance(segment, str) else segment
         held = {"object": self.store.table("objects"), "claim": self.store.table("claims"), "relationship": self.store.table("relationships"), "evidence": self.store.table("evidence")}
-        got = segments.check_import(rows, segments.from_lists(rows), held, F.lit(self.clock()), apply).first()
+        got = segments.check_import(rows, segments.from_lists(rows), held, F.lit(self.clock()), apply, self.verify).first()
         if got is None:
             raise KeyError("segment not found")
         if got["error"]:
             raise MemoryError_(got["error"])
-        step = "import_applied" if got["applied"] else "import_verified" if got["verified"] else "import_rejected"
-        self._write({}, step, "segment", got["id"] if "id" in got else got["root_context"], actor)
+        steps = ("import_verified", "import_applied") if got["applied"] else ("import_verified",) if got["verified"] else ("import_rejected",)
+        self.store.commit({"journal": self._event(steps[0], "segment", got["id"] if "id" in got else got["root_context"], actor, *steps[1:])})
         return {"verified": got["verified"], "applied": got["applied"]}
 
     def journal(self, since: int = 0) -> list[dict]:

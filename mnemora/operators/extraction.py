@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.functions.text import clamp
+from mnemora.functions.text import clamp, make_id, slug
+from mnemora.operators.identity import resolve
+from mnemora.operators.mutations import provenance
+from mnemora.operators.sequence import numbered
 from mnemora.schema import PREDICATES, RELATIONS
+from mnemora.session import cut
 
 # The patterns of claims (subject, value) and of relationships (source, target).
 CLAIM_PATTERNS = (
@@ -31,9 +35,14 @@ CAP = 10
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
-    left, right = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    found = F.zip_with(left, right, lambda a, b: F.struct(F.trim(F.regexp_replace(a, r"^\s+|\s+$", "")).alias("a"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("b")))
-    return F.when(text.rlike(needs), found).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    # the whole match once; its parts are read from it, not from the text again
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def part(m: Column, group: int) -> Column:
+        return F.regexp_replace(F.regexp_extract(m, pattern, group), r"^\s+|\s+$", "")
+
+    found = F.transform(whole, lambda m: F.struct(part(m, 1).alias("a"), part(m, 2).alias("b"), F.concat(F.lit("Pattern match: "), F.substring(m, 1, 50)).alias("basis")))
+    return F.when(text.rlike(needs), found).otherwise(F.array().cast("array<struct<a:string,b:string,basis:string>>"))
 
 
 def _capped(lists: list[Column], cap: int = CAP) -> list[Column]:
@@ -47,7 +56,7 @@ def _capped(lists: list[Column], cap: int = CAP) -> list[Column]:
 
 
 def _labelled(matches: Column, name: str, value: int | str) -> Column:
-    return F.transform(matches, lambda v, i: F.struct(F.lit(value).alias(name), i.alias("position"), v["a"].alias("a"), v["b"].alias("b")))
+    return F.transform(matches, lambda v, i: F.struct(F.lit(value).alias(name), i.alias("position"), v["a"].alias("a"), v["b"].alias("b"), v["basis"].alias("basis")))
 
 
 def lines(text: Column) -> Column:
@@ -56,7 +65,7 @@ def lines(text: Column) -> Column:
 
 
 def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pattern_no, position, subject_name, predicate, object_or_value, confidence) of each claim in a text.
+    """(key, pattern_no, position, subject_name, predicate, object_or_value, confidence, basis) of each claim in a text.
 
     Null and matchless texts give no rows; a value left out is ``true``. Patterns stop per text at ten claims in all,
     each giving one at least if it has one.
@@ -67,18 +76,18 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     flat = F.flatten(F.array(*[_labelled(x, "pattern_no", n) for n, x in enumerate(parts)]))
     found = staged.select(key, F.explode(flat).alias("v"))
     value = F.when(F.col("v.b") == "", F.lit("true")).otherwise(F.col("v.b"))
-    return found.select(key, "v.pattern_no", "v.position", F.col("v.a").alias("subject_name"), F.lit("has_role").alias("predicate"), value.alias("object_or_value"), F.lit(0.5).alias("confidence"))
+    return found.select(key, "v.pattern_no", "v.position", F.col("v.a").alias("subject_name"), F.lit("has_role").alias("predicate"), value.alias("object_or_value"), F.lit(0.5).alias("confidence"), "v.basis")
 
 
 def extract_relationships(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, position, source_name, relation_type, target_name, confidence), as ``extract_claims``."""
+    """(key, position, source_name, relation_type, target_name, confidence, basis), as ``extract_claims``."""
     rows = texts.select(key, lines(F.col(text)).alias("t"))
     needs = {k: "(?i)" + k.replace("_", r"\s+") for k in RELATION_PATTERNS}
     staged = rows.select(key, *[F.filter(_matches(F.col("t"), p, needs[k]), lambda v: (v["a"] != "") & (v["b"] != "")).alias(k) for k, p in RELATION_PATTERNS.items()])
     parts = _capped([F.col(k) for k in RELATION_PATTERNS])
     flat = F.flatten(F.array(*[_labelled(x, "relation_type", k) for k, x in zip(RELATION_PATTERNS, parts, strict=True)]))
     found = staged.select(key, F.explode(flat).alias("v"))
-    return found.select(key, "v.relation_type", "v.position", F.col("v.a").alias("source_name"), F.col("v.b").alias("target_name"), F.lit(0.5).alias("confidence"))
+    return found.select(key, "v.relation_type", "v.position", F.col("v.a").alias("source_name"), F.col("v.b").alias("target_name"), F.lit(0.5).alias("confidence"), "v.basis")
 
 
 # Model answers -----------------------------------------------------------------------------------------------------
@@ -159,8 +168,8 @@ def parse_embeddings(answers: DataFrame, key: str, body: str) -> DataFrame:
 # Proposals, decisions, policies ------------------------------------------------------------------------------------
 
 
-def decide(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
-    """``candidates`` with verdict, reasoning and action.
+def verdicts(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
+    """``candidates`` with verdict and reasoning.
 
     Takes ``type``, ``evidence_refs`` and ``ord``, the order in which proposals are handled. Without evidence a
     proposal is rejected, with two pieces or more accepted; with one, a claim is escalated once any claim is held:
@@ -177,8 +186,93 @@ def decide(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
         F.when(F.col("refs") == 0, F.lit("No evidence attached")).when(F.col("refs") >= 2, F.format_string("%d evidence refs", "refs"))
         .when(F.col("verdict") == "Escalate", F.lit("Single evidence with existing claims — needs review")).otherwise(F.lit("Single evidence, no conflicts"))
     )
+    return staged.withColumn("verdict", verdict).withColumn("reasoning", reasons).drop("refs")
+
+
+def actions(decisions: DataFrame) -> DataFrame:
+    """``decisions`` with what follows from their verdict."""
     action = F.when(F.col("verdict") == "Accept", F.lit("Allow")).when(F.col("verdict") == "Escalate", F.lit("Quarantine")).otherwise(F.lit("Deny"))
-    return staged.withColumn("verdict", verdict).withColumn("reasoning", reasons).withColumn("action", action).drop("refs")
+    return decisions.withColumn("action", action)
+
+
+def decide(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
+    """``candidates`` with verdict, reasoning and action."""
+    return actions(verdicts(candidates, claims_before))
+
+
+def by_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims and relationships of (evidence_id, content), by the fixed patterns."""
+    return extract_claims(texts, "evidence_id", "content"), extract_relationships(texts, "evidence_id", "content")
+
+
+def extracted(texts: DataFrame, claims: DataFrame, relationships: DataFrame, objects: DataFrame, aliases: DataFrame, claims_before: int, verdict: Callable = verdicts, action: Callable = actions, tag: int = 0) -> dict[str, DataFrame]:
+    """What a batch of extracted facts changes: rows of candidates, decisions, policies, objects, claims, relationships,
+    provenance, ``events`` for the journal (ord, step) and ``counts`` per evidence.
+
+    ``texts``: (ord, evidence_id, content, tenant_id), handled by ``ord`` (then evidence), each text's claims before
+    its relationships, in order of pattern and position. Allowed facts are about the objects of those very names, of
+    several the one recorded first; names without one become new objects, once each, where they come first. Names that
+    make the same id as an object held or an earlier name's are that object. One pass of joins; facts of one text or
+    of all, no row comes to the driver but one aggregate of the verdicts.
+    """
+    each = texts.select(F.col("ord").alias("text_ord"), "evidence_id", "tenant_id").distinct()
+    basis = F.col("basis") if "basis" in claims.columns else F.lit(None).cast("string")
+    c = claims.select(
+        "evidence_id", F.lit("ClaimCandidate").alias("type"), F.col("pattern_no").cast("string").alias("part"), "position", F.col("subject_name").alias("a"),
+        F.col("predicate").alias("how"), F.col("object_or_value").alias("b"), "confidence", basis.alias("basis"),
+    )
+    basis = F.col("basis") if "basis" in relationships.columns else F.lit(None).cast("string")
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(RELATION_PATTERNS) for x in (k, str(i))])
+    r = relationships.select(
+        "evidence_id", F.lit("RelationshipCandidate").alias("type"), F.coalesce(F.try_element_at(order, F.col("relation_type")), F.lit("9")).alias("part"), "position",
+        F.col("source_name").alias("a"), F.col("relation_type").alias("how"), F.col("target_name").alias("b"), "confidence", basis.alias("basis"),
+    )
+    facts = c.unionByName(r).join(each, "evidence_id")
+    ranged = numbered(facts, ["text_ord", "evidence_id", "type", "part", "position", "a", "how", "b"], "ord")
+    payload = F.to_json(F.struct("type", "a", "how", "b", "confidence", "basis"))
+    staged = ranged.withColumn("evidence_refs", F.array("evidence_id")).withColumn("payload", payload)
+    staged = staged.withColumn("candidate_id", F.concat_ws(":", F.lit("cand"), "type", F.lit(str(tag)), F.col("ord").cast("string")))
+    decided = cut(action(verdict(staged.withColumnRenamed("candidate_id", "id"), claims_before)))
+    allowed = decided.where(F.col("action") == "Allow")
+
+    # names: held objects of that very name, else the object whose id the name makes
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("name")), F.struct(F.lit(2).alias("side"), F.when(F.col("type") == "RelationshipCandidate", F.col("b")).alias("name")))
+    named = allowed.select("ord", "tenant_id", F.inline(sides)).where(F.col("name").isNotNull())
+    first = named.groupBy("name").agg(F.min(F.struct("ord", "side", "tenant_id")).alias("f"))
+    held = objects.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.struct("_first_seq", "id")).alias("o")).select("name", F.col("o.id").alias("held"))
+    keyed = first.join(held, "name", "left").withColumn("made", make_id("obj", slug(F.col("name"))))
+    live = objects.where(F.coalesce(F.col("lifecycle_state") != "merged", F.lit(True))).select(F.col("id").alias("made"), F.lit(True).alias("there")).distinct()
+    keyed = cut(keyed.join(live, "made", "left"))
+    fresh = keyed.where(F.col("held").isNull() & F.col("there").isNull()).groupBy("made").agg(F.min(F.struct("f", "name")).alias("v"))
+    new = fresh.select(
+        F.col("made").alias("id"), F.lit("entity").alias("type"), "v.name", F.array().cast("array<string>").alias("aliases"), F.lit("active").alias("lifecycle_state"),
+        F.lit("internal").alias("sensitivity"), F.col("v.f.tenant_id").alias("tenant_id"), F.col("v.f.ord").alias("ord"), F.col("v.f.side").alias("side"),
+    )
+    stands = resolve(keyed.select("name", F.coalesce("held", "made").alias("object_id")), "object_id", aliases)
+
+    level = F.struct(F.lit("weak").alias("level"), F.lit(1).alias("evidence_count"), F.lit(0).alias("disagreeing_count"))
+    common = ("ord", "evidence_refs", F.lit("active").alias("lifecycle_state"), level.alias("support_state"), "confidence", F.lit("internal").alias("sensitivity"), "tenant_id")
+    a = allowed.join(stands.select(F.col("name").alias("a"), F.col("object_id").alias("a_id")), "a")
+    made = a.where(F.col("type") == "ClaimCandidate").select(
+        make_id("claim", F.col("a_id"), F.col("how")).alias("id"), F.col("a_id").alias("subject_id"), F.col("how").alias("predicate"), F.col("b").alias("object_or_value"), *common
+    )
+    linked = a.where(F.col("type") == "RelationshipCandidate").join(stands.select(F.col("name").alias("b"), F.col("object_id").alias("b_id")), "b").select(
+        make_id("rel", F.col("a_id"), F.col("how"), F.col("b_id")).alias("id"), F.col("a_id").alias("source_object"), F.col("how").alias("relation_type"), F.col("b_id").alias("target_object"), *common
+    )
+    proof = provenance(made, "claim").unionByName(provenance(linked, "relationship"))
+
+    def event(rows: DataFrame, step: int | Column, kind: str, operation: str, key: str | Column = "id") -> DataFrame:
+        return rows.select("ord", (step if isinstance(step, Column) else F.lit(step)).alias("step"), F.lit(kind).alias("entity_type"), (F.col(key) if isinstance(key, str) else key).alias("entity_id"), F.lit(operation).alias("operation"))
+
+    decision, policy = F.concat(F.lit("dec:"), "id"), F.concat(F.lit("pol:dec:"), "id")
+    events = event(decided, 0, "candidate", "propose").unionByName(event(decided, 1, "decision", "decide", decision)).unionByName(event(decided, 2, "policy", "apply_policy", policy))
+    events = events.unionByName(event(new, F.col("side") + 2, "object", "create")).unionByName(event(made, 5, "claim", "create")).unionByName(event(linked, 5, "relationship", "create"))
+    return {
+        "candidates": decided.select("ord", "id", "type", "payload", "evidence_refs"),
+        "decisions": decided.select("ord", decision.alias("id"), F.col("id").alias("candidate_ref"), "verdict", "reasoning", F.lit("deterministic").alias("decision_model")),
+        "policies": decided.select("ord", policy.alias("id"), decision.alias("decision_ref"), "action"),
+        "objects": new, "claims": made, "relationships": linked, "provenance": proof, "events": events, "counts": outcome_counts(decided, "evidence_id"),
+    }
 
 
 def outcome_counts(decided: DataFrame, key: str) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from mnemora.functions.text import clamp
 from mnemora.session import cut
 
-EDGE = ("edge_id", "source", "target", "relation", "confidence", "ord")
+EDGE = ("edge_id", "source", "target", "relation", "confidence", "tenant_id", "ord")
 
 
 def edges(relationships: DataFrame, tenant: str | None = None, order: str = "row_seq") -> DataFrame:
-    """(edge_id, source, target, relation, confidence, ord) of the active relationships, of one tenant if named.
+    """(edge_id, source, target, relation, confidence, tenant_id, ord) of the active relationships, of one tenant if named.
 
     An id written several times is one edge: its last row's, at the place of the first. Rows without an end are none.
     """
@@ -24,7 +24,7 @@ def edges(relationships: DataFrame, tenant: str | None = None, order: str = "row
     kept = (F.col("v.lifecycle_state") == "active") & F.col("v.source_object").isNotNull() & F.col("v.target_object").isNotNull()
     if tenant is not None:
         kept = kept & (F.col("v.tenant_id") == tenant)
-    return rows.where(kept).select(F.col("id").alias("edge_id"), F.col("v.source_object").alias("source"), F.col("v.target_object").alias("target"), F.col("v.relation_type").alias("relation"), F.col("v.confidence").alias("confidence"), "ord")
+    return rows.where(kept).select(F.col("id").alias("edge_id"), F.col("v.source_object").alias("source"), F.col("v.target_object").alias("target"), F.col("v.relation_type").alias("relation"), F.col("v.confidence").alias("confidence"), F.col("v.tenant_id").alias("tenant_id"), "ord")
 
 
 def resolved_edges(found: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -34,6 +34,24 @@ def resolved_edges(found: DataFrame, aliases: DataFrame) -> DataFrame:
     return found
 
 
+def stepping(found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``edges`` by the ids from which a walk takes them: ``source`` is any id that stands for the edge's own source.
+
+    A walk stands at ids as they are recorded and looks for edges under what an id stands for; so an edge recorded
+    under an id that was merged away is on no walk, and the targets stay as recorded.
+    """
+    merged = aliases.select(F.col("alias").alias("source"))
+    own = found.join(merged, "source", "left_anti")
+    by_alias = own.join(aliases.select(F.col("canonical").alias("source"), "alias"), "source").withColumn("source", F.col("alias")).drop("alias")
+    return own.unionByName(by_alias)
+
+
+def standing_for(found: DataFrame, aliases: DataFrame, end: str) -> DataFrame:
+    """``found`` with ``arrives``: whether the edge's target stands for ``end``."""
+    those = aliases.where(F.col("canonical") == end).select(F.col("alias").alias("target"), F.lit(True).alias("__a")).distinct()
+    return found.join(those, "target", "left").withColumn("arrives", F.col("__a").isNotNull() | (F.col("target") == end)).drop("__a")
+
+
 def incident(relationships: DataFrame, objects: DataFrame) -> DataFrame:
     """(id, direction, edge_id): out-edges and in-edges of each object, as a bag: a self-loop comes twice."""
     known = objects.select("id")
@@ -94,41 +112,52 @@ def neighbourhood(found: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         nxt = frontier.join(found.select(F.col("source").alias("at"), F.col("target")), "at").select("start", F.col("target").alias("at")).distinct()
         frontier = cut(nxt.join(seen, ["start", "at"], "left_anti"))
         seen = seen.unionByName(frontier)
-    return seen.join(found, seen["at"] == found["source"]).select("start", *EDGE)
+    return seen.join(found, seen["at"] == found["source"]).select("start", *[c for c in found.columns])
 
 
 def ordered_walk(found: DataFrame, starts: DataFrame, depth: int, end: str | None = None) -> DataFrame:
-    """(start, rank, nodes, edge_ids, score) of a depth-first walk that expands each node once, out-edges in order.
+    """(start, rank, nodes, edge_ids, tenants, score) of a depth-first walk that expands each node once, out-edges in
+    order.
 
     Unlike ``simple_paths`` the result depends on the edges' order: a node met again is not expanded again, nor one
-    first met at the last depth. With ``end`` the paths that arrive there are given, and not followed further. The
-    walk itself is sequential, so each start's neighbourhood of ``depth`` steps, cut out by joins first, is one group.
+    first met at the last depth. With ``end`` the paths that arrive there are given, and not followed further; a column
+    ``arrives`` of ``found`` says which edges do, if there is one. ``tenants`` are those of the path's edges. The walk
+    itself is sequential, so each start's neighbourhood of ``depth`` steps, cut out by joins first, is one group.
     """
+    goal = F.col("arrives") if "arrives" in found.columns else F.lit(False) if end is None else F.col("target") == end
+    flagged = found.select(*EDGE, goal.alias("arrives"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        by_source = {s: g.sort_values(["ord", "edge_id"]) for s, g in rows.groupby("source")}
+        ordered = rows.sort_values(["ord", "edge_id"])
+        by_source: dict[str, list[tuple]] = {}
+        for at, edge, target, p, tenant, arrives in zip(*[ordered[c] for c in ("source", "edge_id", "target", "confidence", "tenant_id", "arrives")], strict=True):
+            by_source.setdefault(at, []).append((edge, target, min(1.0, max(0.0, p if p == p else 0.0)), tenant, arrives))
         start, visited, out = rows["start"].iloc[0], set(), []
 
-        def children(node: str, nodes: list, path: list, score: float, at: int) -> Iterator[tuple]:
+        def children(node: str, nodes: list, path: list, tenants: list, score: float, at: int) -> Iterator[tuple]:
             if at >= depth or node in visited:
                 return
             visited.add(node)
-            for e in by_source.get(node, pd.DataFrame(columns=rows.columns)).itertuples():
-                p = min(1.0, max(0.0, e.confidence if e.confidence == e.confidence else 0.0))
-                yield e.target, [*nodes, e.target], [*path, e.edge_id], score * p, at + 1
+            for edge, target, p, tenant, arrives in by_source.get(node, ()):
+                yield arrives, (target, [*nodes, target], [*path, edge], [*tenants, tenant], score * p, at + 1)
 
-        stack = [children(start, [start], [], 1.0, 0)]
+        stack = [children(start, [start], [], [], 1.0, 0)]
         while stack:
             nxt = next(stack[-1], None)
             if nxt is None:
                 stack.pop()
                 continue
-            node, nodes, path, score, _ = nxt
-            if end is None or node == end:
-                out.append((start, len(out), nodes, path, score))
-            if node != end:
-                stack.append(children(*nxt))
-        return pd.DataFrame(out, columns=["start", "rank", "nodes", "edge_ids", "score"])
-
-    schema = "start string, rank int, nodes array<string>, edge_ids array<string>, score double"
-    return neighbourhood(found, starts, depth).groupBy("start").applyInPandas(walk, schema)
+            arrives, step = nxt
+            if end is None or arrives:
+                out.append((start, len(out), *step[1:5]))
+            if end is None or not arrives:
+                stack.append(children(*step))
+        return pd.DataFrame(out, columns=["start", "rank", "nodes", "edge_ids", "tenants", "score"])
+
+    schema = "start string, rank int, nodes array<string>, edge_ids array<string>, tenants array<string>, score double"
+    return neighbourhood(flagged, starts, depth).groupBy("start").applyInPandas(walk, schema)
+
+
+def within_tenant(walked: DataFrame, tenant: str) -> DataFrame:
+    """The walked paths all of whose edges are ``tenant``'s: a foreign edge still visits what it leads to."""
+    return walked.where(F.forall("tenants", lambda t: F.coalesce(t == tenant, F.lit(False))))

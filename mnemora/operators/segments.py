@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LISTS = {"object": "included_objects", "claim": "included_claims", "relationship": "included_relationships", "context": "included_contexts", "evidence": "included_evidence"}
 
 
-def export_segments(contexts: DataFrame, memberships: DataFrame, expires_in_days: int | None, now: Column) -> DataFrame:
+def export_segments(contexts: DataFrame, memberships: DataFrame, expires_in_days: int | None, now: Column, signing: Callable[[Column], Column] | None = None) -> DataFrame:
     """One segment a context: payload hash, signature, version and expiry; its members stay rows (``members``).
 
     The hash covers the context and the numbers of objects and claims only, so members are counted, not gathered; 0
@@ -18,7 +20,7 @@ def export_segments(contexts: DataFrame, memberships: DataFrame, expires_in_days
     rows = contexts.select(F.col("id").alias("root_context"), "sensitivity").join(counts, F.col("root_context") == F.col("context_id"), "left")
     hashed = rows.select("root_context", "sensitivity", F.concat_ws(":", "root_context", F.coalesce("object", F.lit("0")), F.coalesce("claim", F.lit("0"))).alias("payload_hash"))
     expiry = now + F.make_dt_interval(F.lit(expires_in_days)) if expires_in_days else F.lit(None).cast("timestamp")
-    return hashed.withColumn("signature", sign(F.col("payload_hash"))).withColumn("version", F.lit(1)).withColumn("expires_at", expiry)
+    return hashed.withColumn("signature", (signing or sign)(F.col("payload_hash"))).withColumn("version", F.lit(1)).withColumn("expires_at", expiry)
 
 
 def members(memberships: DataFrame) -> DataFrame:
@@ -46,18 +48,18 @@ def sign(payload_hash: Column) -> Column:
     return F.concat(F.lit("sig:"), payload_hash)
 
 
-def content_hash(*parts: Column) -> Column:
-    """A hash that, unlike the payload hash, does cover the members."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+def verify(segments: DataFrame) -> Column:
+    """Whether a segment's signature is that of its payload hash."""
+    return F.col("signature") == sign(F.col("payload_hash"))
 
 
-def check_import(segments: DataFrame, contents: DataFrame, held: dict[str, DataFrame], now: Column, apply: bool = True) -> DataFrame:
+def check_import(segments: DataFrame, contents: DataFrame, held: dict[str, DataFrame], now: Column, apply: bool = True, verifying: Callable[[DataFrame], Column] = verify) -> DataFrame:
     """``segments`` with verified, applied and error; ``contents`` are their ``members``.
 
     A wrong signature verifies and applies nothing; an expired segment is an error; with ``apply`` the first member, by
     type (objects, claims, relationships, evidence) and id, that isn't held is one too. Contexts are not looked up.
     """
-    staged = segments.withColumn("verified", F.col("signature") == sign(F.col("payload_hash"))).withColumn("__expired", F.coalesce(F.col("expires_at") < now, F.lit(False)))
+    staged = segments.withColumn("verified", F.coalesce(verifying(segments), F.lit(False))).withColumn("__expired", F.coalesce(F.col("expires_at") < now, F.lit(False)))
     staged = staged.withColumn("__missing", F.lit(None).cast("string"))
     if apply:
         each = None

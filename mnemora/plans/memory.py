@@ -13,12 +13,14 @@ from mnemora.functions.text import clamp, cosine, embedding_tokens, make_id, sen
 from mnemora.operators import access, extraction, graph, identity, mutations, retrieval, segments
 from mnemora.operators.hierarchy import object_hierarchy
 from mnemora.sources.files import classify, evidence_of
+from mnemora.session import cut
 from mnemora.sources.tables import current_objects, table
 
 UNTRUSTED = ("vendor-mail", "partner-notes")
 QUESTION = "Which DatabaseMigration was slower than the audit stream of the signing key, and why did the audit fail?"
 KEYWORDS = "encrypted owner caused outage supersedes references"
 START, END = "obj:release-coordination-group", "obj:common-ledger-store"
+HUB = "obj:shared-operations-desk"
 
 
 def _source(c: str = "source") -> Column:
@@ -310,14 +312,60 @@ def multi_hop_paths_whole(spark: SparkSession, d: str) -> DataFrame:
     return paths.select(F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", "|").alias("edge_ids"), "hops", F.round("score", 6).alias("score"))
 
 
+def _walked(spark: SparkSession, d: str, tenant: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges by every id that stands for their source, and the aliases."""
+    aliases = cut(_aliases(spark, d))
+    return graph.stepping(graph.edges(table(spark, d, "relationships"), tenant), aliases), aliases
+
+
+def _canonical(aliases: DataFrame, *ids: str) -> list[str]:
+    stands = {r["alias"]: r["canonical"] for r in aliases.where(F.col("alias").isin(*ids)).collect()}
+    return [stands.get(i, i) for i in ids]
+
+
 def traverse_dfs(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.createDataFrame([(START,)], "id string")
-    found = graph.ordered_walk(graph.edges(table(spark, d, "relationships")), starts, 3)
-    return found.select("rank", F.array_join("nodes", ">").alias("path"), F.round("score", 6).alias("score"))
+    """The depth-first walk of up to three edges that expands each node once, merges followed at each step."""
+    found, _ = _walked(spark, d)
+    walked = graph.ordered_walk(found, spark.createDataFrame([(HUB,)], "id string"), 3)
+    return walked.select("rank", F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", "|").alias("edge_ids"), F.round("score", 6).alias("score"))
+
 
+def multi_hop_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The same walk of up to four edges of tenant ``default``, as far as it arrives at what END stands for, best first."""
+    found, aliases = _walked(spark, d, "default")
+    start, end = _canonical(aliases, HUB, END)
+    walked = graph.ordered_walk(graph.standing_for(found, aliases, end), spark.createDataFrame([(start,)], "id string"), 4, end)
+    return walked.select("rank", F.array_join("nodes", ">").alias("path"), F.array_join("edge_ids", "|").alias("edge_ids"), F.round("score", 6).alias("score"))
 
-def context_claims_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Per object of tenant ``default``: its claims of that tenant and its gaps, as far as recorded."""
+
+def reconstruct_context(spark: SparkSession, d: str) -> DataFrame:
+    """What HUB stands for, its claims, and the paths of the walk from there all of whose edges are tenant ``default``'s.
+
+    Gaps have no subject in these tables; those of a subject are tested on the memory itself.
+    """
+    found, aliases = _walked(spark, d)
+    (at,) = _canonical(aliases, HUB)
+    walked = graph.within_tenant(graph.ordered_walk(found, spark.createDataFrame([(at,)], "id string"), 3), "default")
+    ours = F.col("tenant_id") == "default"
+    claims = table(spark, d, "claims").where(ours & (F.col("subject_id") == at)).select(F.lit("claim").alias("part"), F.col("row_seq").alias("no"), "id").distinct()
+    objects = _objects(spark, d).where(ours & (F.col("id") == at)).select(F.lit("object").alias("part"), F.lit(0).cast("long").alias("no"), "id")
+    paths = walked.select(F.lit("path").alias("part"), F.col("rank").cast("long").alias("no"), F.array_join("nodes", ">").alias("id"))
+    return paths.unionByName(claims).unionByName(objects)
+
+
+def extract_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's facts through proposal, decision and policy into a memory that holds the objects: what is
+    created, and the journal's events by kind."""
+    texts = _documents(spark, d).where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"), F.lit("default").alias("tenant_id"))
+    objects = _objects(spark, d).withColumn("_first_seq", F.col("created_at"))
+    out = extraction.extracted(texts, *extraction.by_patterns(texts), objects, _aliases(spark, d), 0)
+    made = [out[t].groupBy(F.lit(t).alias("part"), "id").agg(F.count("*").alias("n")) for t in ("objects", "claims", "relationships")]
+    events = out["events"].groupBy(F.lit("events").alias("part"), F.concat_ws(" ", "operation", "entity_type").alias("id")).agg(F.count("*").alias("n"))
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(events)
+
+
+def context_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Per object of tenant ``default`` its claims of that tenant."""
     ours = F.col("tenant_id") == "default"
     claims = table(spark, d, "claims").where(ours & F.col("subject_id").isNotNull()).groupBy(F.col("subject_id").alias("id")).agg(F.countDistinct("row_seq").alias("claims"), F.countDistinct("predicate").alias("predicates"))
     return _objects(spark, d).where(ours).select("id", "name").join(claims, "id", "left").fillna(0, ["claims", "predicates"])
@@ -388,7 +436,10 @@ def segment_import_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def journal_since(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "journal").where(F.col("sequence") > 5000).select("sequence", "id", "entity_type", "entity_id", "operation")
+    """The journal's later half, told by its own greatest sequence."""
+    rows = table(spark, d, "journal")
+    half = F.broadcast(rows.agg(F.expr("max(sequence) div 2").alias("half")))  # one row
+    return rows.join(half, F.col("sequence") > F.col("half")).select("sequence", "id", "entity_type", "entity_id", "operation")
 
 
 def journal_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -396,21 +447,11 @@ def journal_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def journal_apply(spark: SparkSession, d: str) -> DataFrame:
-    """A feed from sequence 4,001 applied to a copy of the first 5,000: what is added, each id once.
-
-    These are halves at sf0.01 only; ``journal_apply_half`` cuts by the journal's own length.
-    """
-    rows = table(spark, d, "journal")
-    held, feed = rows.where(F.col("sequence") <= 5000), rows.where(F.col("sequence") > 4000)
-    return mutations.insert_absent(feed.select("id", "sequence", "entity_type", "entity_id"), held, "id", "sequence")
-
-
-def journal_apply_half(spark: SparkSession, d: str) -> DataFrame:
     """A feed's later half, and a fifth of the first again, applied to a copy of its first half: what is added, each id once."""
     rows = table(spark, d, "journal")
-    half = rows.agg(F.expr("max(sequence) div 2").alias("half"))
-    cut = rows.join(F.broadcast(half))
-    held, feed = cut.where(F.col("sequence") <= F.col("half")), cut.where(F.col("sequence") > F.expr("half * 4 div 5"))
+    half = F.broadcast(rows.agg(F.expr("max(sequence) div 2").alias("half")))  # one row
+    held = rows.join(half, F.col("sequence") <= F.col("half"))
+    feed = rows.join(half, F.col("sequence") > F.expr("half * 4 div 5"))
     return mutations.insert_absent(feed.select("id", "sequence", "entity_type", "entity_id"), held, "id", "sequence")
 
 
@@ -441,8 +482,8 @@ QUERIES = {
         redirect_closure, identity_resolved_edges, regex_claims, regex_relationships, candidate_decision_policy, extraction_counters,
         extraction_name_lookup, llm_json_filter, essence_nl, essence_structured, entry_points, entry_points_inverted, compression_ratio,
         semantic_recall, hash_embeddings, cosine_topk, cosine_min_len, knowledge_claims, knowledge_relationships, knowledge_objects,
-        object_relationships, claims_by_object, traverse_paths, multi_hop_paths, multi_hop_paths_whole, traverse_dfs, context_claims_gaps, gaps_by_type,
+        object_relationships, claims_by_object, traverse_paths, multi_hop_paths, multi_hop_paths_whole, traverse_dfs, multi_hop_walk, reconstruct_context, extract_batch, context_claims, gaps_by_type,
         tenant_isolation, sensitivity_filter, acl_gate, agent_policy_gate, agent_context, segment_export, segment_members, segment_import_check,
-        journal_since, journal_sequence, journal_apply, journal_apply_half, journal_renumbered, token_statistics, confidence_clamp,
+        journal_since, journal_sequence, journal_apply, journal_renumbered, token_statistics, confidence_clamp,
     )
 }

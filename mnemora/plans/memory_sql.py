@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from mnemora.functions.text import query_tokens
 from mnemora.operators.extraction import CAP, CLAIM_PATTERNS, RELATION_PATTERNS
-from mnemora.plans.memory import END, KEYWORDS, QUESTION, START, UNTRUSTED
+from mnemora.plans.memory import END, HUB, KEYWORDS, QUESTION, START, UNTRUSTED
 from mnemora.plans.problems import _WALK
 from mnemora.schema import PREDICATES
 
@@ -82,6 +82,33 @@ p AS (
 SELECT array_to_string(nodes, '>') AS path, array_to_string(ids, '|') AS edge_ids, CAST(hops AS INTEGER) AS hops, round(score, 6) AS score FROM p WHERE nodes[-1] = b"""
 
 
+def _dfs(tenant: str, depth: int, arrive: bool, start: str = "(SELECT a FROM stands)") -> str:
+    """A depth-first walk as a recursive query: each step takes the top of the stack and, where a node is met for the
+    first time and not too deep, puts its edges there, the first one uppermost."""
+    only = f" AND tenant_id = '{tenant}'" if tenant else ""
+    ends = "target = b OR target IN (SELECT alias FROM aliases WHERE canonical = b)" if arrive else "false"
+    opens = f"x.d < {depth} AND NOT list_contains(visited, x.t) AND NOT x.arrives"
+    step = "{'t': k.t, 'nodes': x.nodes || '>' || k.t, 'ids': CASE WHEN x.d = 0 THEN k.e ELSE x.ids || '|' || k.e END, 'ours': x.ours AND k.ours, 'score': x.score * k.p, 'd': x.d + 1, 'arrives': k.arrives}"
+    return f"""{_WALK}{_ALIASES},
+stands AS (SELECT coalesce(max(canonical) FILTER (alias = '{HUB}'), '{HUB}') AS a, coalesce(max(canonical) FILTER (alias = '{END}'), '{END}') AS b FROM aliases),
+ed AS (SELECT id AS edge_id, source_object AS source, target_object AS target, ord, coalesce(tenant_id = 'default', false) AS ours,
+    CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE least(1, greatest(0, confidence)) END AS p
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_seq DESC) AS rn, min(row_seq) OVER (PARTITION BY id) AS ord FROM relationships WHERE id IS NOT NULL)
+  WHERE rn = 1 AND lifecycle_state = 'active' AND source_object IS NOT NULL AND target_object IS NOT NULL{only}),
+own AS (SELECT * FROM ed WHERE source NOT IN (SELECT alias FROM aliases)),
+st AS (SELECT source AS at_node, * FROM own UNION ALL SELECT alias AS at_node, own.* FROM own JOIN aliases ON canonical = source),
+kids AS (SELECT at_node, list({{'t': target, 'e': edge_id, 'p': CAST(p AS DOUBLE), 'ours': ours, 'arrives': {ends}}} ORDER BY ord DESC, edge_id DESC) AS ks FROM st, stands GROUP BY at_node),
+w AS (
+  SELECT 0 AS n, [{{'t': {start}, 'nodes': {start}, 'ids': '', 'ours': true, 'score': CAST(1 AS DOUBLE), 'd': 0, 'arrives': false}}] AS stack, CAST([] AS VARCHAR[]) AS visited,
+    {{'t': '', 'nodes': '', 'ids': '', 'ours': true, 'score': CAST(1 AS DOUBLE), 'd': 0, 'arrives': false}} AS x
+  UNION ALL
+  SELECT n + 1, CASE WHEN {opens} AND ks IS NOT NULL THEN list_concat(stack, list_transform(ks, lambda k: {step})) ELSE stack END,
+    CASE WHEN {opens} THEN list_append(visited, x.t) ELSE visited END, x
+  FROM (SELECT n, stack[:-2] AS stack, visited, stack[-1] AS x FROM w WHERE len(stack) > 0) q LEFT JOIN kids ON at_node = q.x.t),
+walked AS (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS rank, x.nodes AS path, x.ids AS edge_ids, round(x.score, 6) AS score, x.ours AS ours FROM w WHERE x.d > 0{" AND x.arrives" if arrive else ""})
+"""
+
+
 def _regex(patterns: dict[str, str], label: str, cast: str, a: str, b: str, empty: str, need_both: bool) -> str:
     def one(i: int, p: str) -> str:
         p = p.replace("'", "''")
@@ -188,7 +215,28 @@ SQL = {
     "traverse_paths": _paths(""),
     "multi_hop_paths": _paths(f" AND nodes[-1] <> '{END}'") + f" AND nodes[-1] = '{END}'",
     "multi_hop_paths_whole": _WHOLE_PATHS,
-    "context_claims_gaps": f"""WITH {_O}, c AS (SELECT subject_id, count(DISTINCT row_seq) AS claims, count(DISTINCT predicate) AS predicates FROM claims WHERE tenant_id = 'default' GROUP BY subject_id)
+    "traverse_dfs": _dfs("", 3, False, f"'{HUB}'") + "SELECT rank, path, edge_ids, score FROM walked",
+    "multi_hop_walk": _dfs("default", 4, True) + "SELECT rank, path, edge_ids, score FROM walked",
+    "reconstruct_context": _dfs("", 3, False) + f""", {_O}
+SELECT 'path' AS part, CAST(rank AS BIGINT) AS no, path AS id FROM walked WHERE ours
+UNION ALL SELECT DISTINCT 'claim', row_seq, claims.id FROM claims, stands WHERE subject_id = a AND tenant_id = 'default'
+UNION ALL SELECT 'object', 0, o.id FROM o, stands WHERE o.id = a AND tenant_id = 'default'""",
+    "extract_batch": rf"""{_WALK}{_ALIASES}, {_O}, rr AS ({_regex(RELATION_PATTERNS, "relation_type", "'{name}'", "source_name", "target_name", "", True)}),
+cc AS ({_regex(dict(enumerate(CLAIM_PATTERNS)), "pattern_no", "CAST({i} AS INTEGER)", "subject_name", "object_or_value", "true", False)}),
+c1 AS (SELECT * FROM cc ORDER BY doc_id, pattern_no, position LIMIT 1),
+named AS (SELECT DISTINCT name FROM (SELECT source_name AS name FROM rr UNION ALL SELECT target_name FROM rr UNION ALL SELECT subject_name FROM c1)),
+held AS (SELECT name, arg_min(id, (created_at, id)) AS held FROM o WHERE name IS NOT NULL GROUP BY name),
+k AS (SELECT named.name, held, 'obj:' || regexp_replace(lower(named.name), '\s+', '-', 'g') AS made FROM named LEFT JOIN held USING (name)),
+ids AS (SELECT name, coalesce(canonical, coalesce(held, made)) AS id FROM k LEFT JOIN aliases ON alias = coalesce(held, made)),
+objs AS (SELECT DISTINCT made AS id FROM k WHERE held IS NULL AND made NOT IN (SELECT id FROM o WHERE coalesce(lifecycle_state <> 'merged', true))),
+rels AS (SELECT 'rel:' || x.id || ':' || relation_type || ':' || y.id AS id FROM rr JOIN ids x ON x.name = source_name JOIN ids y ON y.name = target_name),
+cl AS (SELECT 'claim:' || x.id || ':has_role' AS id FROM c1 JOIN ids x ON x.name = subject_name),
+n AS (SELECT (SELECT count(*) FROM rr) + (SELECT count(*) FROM cc) AS facts)
+SELECT 'objects' AS part, id, 1 AS n FROM objs UNION ALL SELECT 'claims', id, count(*) FROM cl GROUP BY id UNION ALL SELECT 'relationships', id, count(*) FROM rels GROUP BY id
+UNION ALL SELECT 'events', e, facts FROM n, (VALUES ('propose candidate'), ('decide decision'), ('apply_policy policy')) t(e) WHERE facts > 0
+UNION ALL SELECT 'events', 'create object', count(*) FROM objs HAVING count(*) > 0 UNION ALL SELECT 'events', 'create claim', count(*) FROM cl HAVING count(*) > 0
+UNION ALL SELECT 'events', 'create relationship', count(*) FROM rels HAVING count(*) > 0""",
+    "context_claims": f"""WITH {_O}, c AS (SELECT subject_id, count(DISTINCT row_seq) AS claims, count(DISTINCT predicate) AS predicates FROM claims WHERE tenant_id = 'default' GROUP BY subject_id)
       SELECT id, name, coalesce(claims, 0) AS claims, coalesce(predicates, 0) AS predicates FROM o LEFT JOIN c ON subject_id = id WHERE tenant_id = 'default'""",
     "gaps_by_type": "SELECT regexp_extract(entity_id, '^gap:([^:]*):', 1) AS gap_type, count(DISTINCT entity_id) AS gaps, count(*) AS events FROM journal WHERE entity_type = 'knowledge_gap' GROUP BY ALL",
     "tenant_isolation": f"""WITH {_O} SELECT c.tenant_id, count(*) FILTER (c.tenant_id = o.tenant_id) AS own, count(*) AS facts FROM (SELECT DISTINCT row_seq, subject_id, tenant_id FROM claims) c JOIN o ON o.id = subject_id GROUP BY c.tenant_id""",
@@ -211,10 +259,9 @@ SQL = {
       gone AS (SELECT context_id, member_type, member_id, row_number() OVER (PARTITION BY context_id ORDER BY list_position(['object', 'claim', 'relationship', 'evidence'], member_type), member_id) AS r
         FROM mem WHERE member_type IN ('object', 'claim', 'relationship', 'evidence') AND NOT EXISTS (SELECT 1 FROM held WHERE k = member_type AND held.id = member_id))
       SELECT ctx.id AS root_context, true AS verified, context_id IS NULL AS applied, coalesce('Import: ' || member_type || ' not found locally: ' || member_id, '') AS error FROM ctx LEFT JOIN gone ON context_id = ctx.id AND r = 1""",
-    "journal_since": "SELECT sequence, id, entity_type, entity_id, operation FROM journal WHERE sequence > 5000",
+    "journal_since": "SELECT sequence, id, entity_type, entity_id, operation FROM journal WHERE sequence > (SELECT max(sequence) // 2 FROM journal)",
     "journal_sequence": "SELECT coalesce(max(sequence), 0) AS last_sequence FROM journal",
-    "journal_apply": "SELECT id, sequence, entity_type, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence, entity_type, entity_id) AS r FROM journal WHERE sequence > 4000) WHERE r = 1 AND id NOT IN (SELECT id FROM journal WHERE sequence <= 5000)",
-    "journal_apply_half": """WITH m AS (SELECT max(sequence) // 2 AS half FROM journal), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence, entity_type, entity_id) AS r FROM journal, m WHERE sequence > half * 4 // 5)
+    "journal_apply": """WITH m AS (SELECT max(sequence) // 2 AS half FROM journal), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence, entity_type, entity_id) AS r FROM journal, m WHERE sequence > half * 4 // 5)
       SELECT id, sequence, entity_type, entity_id FROM f WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM journal h, m WHERE h.sequence <= m.half AND h.id = f.id)""",
     "journal_renumbered": "SELECT id, was, row_number() OVER (ORDER BY was, id) AS sequence FROM (SELECT id, min(sequence) AS was FROM journal GROUP BY id)",
     "token_statistics": f"WITH t AS (SELECT doc_id, unnest({_tokens("coalesce(text, '')")}) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS times FROM t GROUP BY token",

@@ -27,6 +27,7 @@ TABLES: dict[str, str] = {
     "journal": "sequence BIGINT, id STRING, logged_at STRING, entity_type STRING, entity_id STRING, operation STRING, payload_hash STRING, actor STRING",
     "segments": "id STRING, root_context STRING, included_objects ARRAY<STRING>, included_claims ARRAY<STRING>, included_relationships ARRAY<STRING>, included_contexts ARRAY<STRING>, included_evidence ARRAY<STRING>, purpose STRING, sensitivity STRING, version INT, payload_hash STRING, signature STRING, created_at TIMESTAMP_NTZ, expires_at TIMESTAMP_NTZ",
     "redirects": "from_id STRING, into_id STRING",
+    "closure": "alias STRING, canonical STRING",
     "agent_policies": "agent_id STRING, tenant_id STRING, max_sensitivity STRING, allowed_purposes ARRAY<STRING>",
 }
 

@@ -13,6 +13,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemora.memory import Memory, MemoryError_
+from mnemora.schema import REPRESENTATIONS
 from mnemora.streaming.replication import JournalSource, apply_events, pull_loop
 
 
@@ -43,6 +44,42 @@ def _events(m: Memory, q: dict) -> dict:
     return {"events": m.journal(int(q.get("since", 0))), "lastSequence": m.store.last_sequence()}
 
 
+def _of(body: dict, *names: str):
+    """The first of these fields that a body has; one of them must be there."""
+    for n in names:
+        if body.get(n) is not None:
+            return body[n]
+    raise ValueError(f"{names[0]} is missing")
+
+
+def _context(m: Memory, b: dict) -> dict:
+    return m.context_of(_of(b, "start_object_id", "start"), int(b.get("max_depth", b.get("depth", 3))), b.get("tenant_id", "default"))
+
+
+def _extract(m: Memory, b: dict) -> dict:
+    """With ``async`` the model that the server was given for it; it is an error to have none."""
+    model = None
+    if b.get("async"):
+        model = m.slow_model
+        if model is None:
+            raise ValueError("no model for async extraction")
+    got = m.extract(_of(b, "evidence_id"), _of(b, "content"), b.get("actor", "http"), b.get("tenant_id", "default"), model)
+    return {"candidatesCreated": got["candidates"], **got}
+
+
+def _exported(m: Memory, b: dict) -> dict:
+    return m.get("segments", m.export_segment(_of(b, "root_context", "context_id"), b.get("purpose") or "", b.get("expires_in_days"), b.get("actor", "http"), b.get("sensitivity")))
+
+
+def _imported(m: Memory, b: dict) -> dict:
+    segment = _of(b, "segment")
+    return m.import_segment(_snake(segment) if isinstance(segment, dict) else segment, bool(b.get("auto_apply", b.get("apply", False))), b.get("actor", "http"))
+
+
+def _agent(m: Memory, i: str, q: dict):
+    return m.agent_context(i, q.get("max_sensitivity"), q.get("tenant_id", "default"), q.get("agent_id"), q.get("purpose"))
+
+
 #: (method, path pattern, handler of memory, body or query, and what the path holds).
 ROUTES: list[tuple[str, str, Callable]] = [
     ("GET", "/health", lambda m, q: {"status": "ok", "version": m.store.version()}),
@@ -51,41 +88,47 @@ ROUTES: list[tuple[str, str, Callable]] = [
     ("GET", "/objects/([^/]+)/relationships", lambda m, q, i: m.relationships_of(i)),
     ("GET", "/claims/([^/]+)", lambda m, q, i: m.get("claims", i)),
     ("GET", "/contexts/([^/]+)", lambda m, q, i: m.get("contexts", i)),
-    ("GET", "/contexts/([^/]+)/agent-context", lambda m, q, i: m.agent_context(i, q.get("max_sensitivity"), q.get("tenant_id", "default"), q.get("agent_id"), q.get("purpose"))),
+    ("GET", "/contexts/([^/]+)/agent-context", lambda m, q, i: _agent(m, i, q)),
     ("POST", "/objects", lambda m, b: {"id": m.create_object(**b)}),
     ("POST", "/claims", lambda m, b: {"id": m.create_claim(**b)}),
     ("POST", "/relationships", lambda m, b: {"id": m.create_relationship(**b)}),
     ("POST", "/contexts", lambda m, b: {"id": m.create_context(**b)}),
     ("POST", "/contexts/([^/]+)/memberships", lambda m, b, i: {"id": _member(m, b, i)}),
-    ("POST", "/candidates", lambda m, b: {"id": m.propose(**b)}),
+    ("POST", "/candidates", lambda m, b: {"id": m.propose(**{**b, "payload": b.get("payload") or {}})}),
     ("POST", "/candidates/([^/]+)/decide", lambda m, b, i: m.decide(i, **b)),
     ("POST", "/decisions/([^/]+)/apply-policy", lambda m, b, i: m.apply_policy(i, **b)),
-    ("POST", "/extract", lambda m, b: m.extract(**b)),
-    ("POST", "/segments/export", lambda m, b: {"id": m.export_segment(**b)}),
-    ("POST", "/segments/import", lambda m, b: m.import_segment(**b)),
+    ("POST", "/extract", lambda m, b: _extract(m, b)),
+    ("POST", "/segments/export", lambda m, b: _exported(m, b)),
+    ("POST", "/segments/import", lambda m, b: _imported(m, b)),
     ("GET", "/segments/([^/]+)", lambda m, q, i: m.get("segments", i)),
     ("POST", "/query/entry-points", lambda m, b: m.entry_points(b["query"], b.get("type", "essence_nl"))),
     ("POST", "/query/knowledge", lambda m, b: m.knowledge(b["query"], b.get("tenant_id", "default"))),
-    ("POST", "/query/context", lambda m, b: m.context_of(b["start"], b.get("depth", 3), b.get("tenant_id", "default"))),
-    ("POST", "/query/multi-hop", lambda m, b: m.paths(b["start"], b["end"], b.get("depth", 4), b.get("tenant_id", "default"))),
+    ("POST", "/query/context", lambda m, b: _context(m, b)),
+    ("POST", "/query/multi-hop", lambda m, b: m.paths(_of(b, "start_object_id", "start"), _of(b, "end_object_id", "end"), int(b.get("max_depth", b.get("depth", 4))), b.get("tenant_id", "default"))),
     ("GET", "/journal", _events),
     ("GET", "/replication/events", _events),
     ("POST", "/replication/events", _replicated),
 ]
-#: What agents can call: name -> handler of memory and arguments.
-TOOLS: dict[str, Callable] = {
-    "create_object": lambda m, a: m.create_object(**a),
-    "create_claim": lambda m, a: m.create_claim(**a),
-    "create_relationship": lambda m, a: m.create_relationship(**a),
-    "get_object": lambda m, a: m.get("objects", a["id"]),
-    "find_entry_points": lambda m, a: m.entry_points(a["query"]),
-    "knowledge_query": lambda m, a: m.knowledge(a["query"]),
-    "reconstruct_context": lambda m, a: m.context_of(a["start"]),
-    "multi_hop": lambda m, a: m.paths(a["start"], a["end"]),
-    "agent_context": lambda m, a: m.agent_context(**a),
+_TEXT, _NUMBER = {"type": "string"}, {"type": "number"}
+#: What agents can call: name -> (what it does, its arguments, those it must have, handler of memory and arguments).
+TOOLS: dict[str, tuple[str, dict, tuple[str, ...], Callable]] = {
+    "memory_get_object": ("One object, merges followed", {"id": _TEXT}, ("id",), lambda m, a: m.get("objects", a["id"])),
+    "memory_get_claim": ("One claim", {"id": _TEXT}, ("id",), lambda m, a: m.get("claims", a["id"])),
+    "memory_get_context": ("One context", {"id": _TEXT}, ("id",), lambda m, a: m.get("contexts", a["id"])),
+    "memory_create_object": ("A new object", {"type": _TEXT, "name": _TEXT}, ("type", "name"), lambda m, a: {"id": m.create_object(a["type"], a["name"], actor="mcp")}),
+    "memory_query_entry_points": ("Representations sharing words with a query, best first", {"query": _TEXT, "type": {**_TEXT, "enum": list(REPRESENTATIONS)}}, ("query",), lambda m, a: m.entry_points(a["query"], a.get("type", "essence_nl"))),
+    "memory_query_knowledge": ("Claims and relationships by keyword", {"query": _TEXT}, ("query",), lambda m, a: m.knowledge(a["query"])),
+    "memory_query_context": ("Paths, claims and gaps around an object", {"startObjectId": _TEXT, "maxDepth": _NUMBER}, ("startObjectId",), _context),
+    "memory_get_journal": ("All changes in order", {}, (), lambda m, a: {"events": m.journal()}),
+    "memory_get_segment": ("One exported segment", {"id": _TEXT}, ("id",), lambda m, a: m.get("segments", a["id"])),
 }
 
 
+def schemas() -> list[dict]:
+    """The tools as ``tools/list`` gives them."""
+    return [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": p, "required": list(r)}} for n, (d, p, r, _) in TOOLS.items()]
+
+
 def answer(memory: Memory, method: str, url: str, body: dict | None = None, token: str | None = None, given: str | None = None) -> tuple[int, object]:
     """(status, content) of a request. ``token``: what replication asks for as bearer, nothing if not set."""
     parts = urlsplit(url)
@@ -108,7 +151,10 @@ def answer(memory: Memory, method: str, url: str, body: dict | None = None, toke
 def tool(memory: Memory, name: str, arguments: dict) -> object:
     if name not in TOOLS:
         raise KeyError(f"no tool {name}")
-    return _plain(TOOLS[name](memory, _snake(arguments)))
+    missing = [r for r in TOOLS[name][2] if arguments.get(r) is None]
+    if missing:
+        raise ValueError(f"{missing[0]} is missing")
+    return _plain(TOOLS[name][3](memory, _snake(arguments)))
 
 
 def serve(memory: Memory, port: int, token: str | None = None) -> ThreadingHTTPServer:
@@ -145,7 +191,7 @@ def tools_over_stdio(memory: Memory, lines=sys.stdin, out=sys.stdout) -> None:
         request = json.loads(line)
         try:
             if request.get("method") == "tools/list":
-                result = {"tools": [{"name": n} for n in TOOLS]}
+                result = {"tools": schemas()}
             else:
                 p = request["params"]
                 result = {"content": [{"type": "text", "text": json.dumps(tool(memory, p["name"], p.get("arguments", {})), default=str)}]}
@@ -158,10 +204,10 @@ def tools_over_stdio(memory: Memory, lines=sys.stdin, out=sys.stdout) -> None:
 def main(argv: list[str] | None = None, memory: Memory | None = None) -> object:
     """``python -m mnemora.server --store FOLDER COMMAND …``"""
     p = argparse.ArgumentParser(prog="mnemora")
-    p.add_argument("--store", default="mnemora-store")
+    p.add_argument("--store", required=memory is None, help="a folder that every executor can reach")
     sub = p.add_subparsers(dest="command", required=True)
     for name, arguments in {
-        "serve": ["--port"], "mcp": [], "ingest": ["folder", "source"], "journal": ["--since"], "extract": ["evidence_id", "file"], "query": ["text"], "replicate-pull": ["url"],
+        "serve": ["--port"], "mcp": [], "ingest": ["folder", "source"], "journal": ["--since"], "extract": ["evidence_id", "file"], "extract-async": ["evidence_id", "file"], "query": ["text"], "replicate-pull": ["url"],
     }.items():
         q = sub.add_parser(name)
         for a in arguments:
@@ -176,9 +222,9 @@ def main(argv: list[str] | None = None, memory: Memory | None = None) -> object:
         got = m.ingest(a.folder, a.source)
     elif a.command == "journal":
         got = m.journal(int(a.since or 0))
-    elif a.command == "extract":
+    elif a.command.startswith("extract"):
         with open(a.file, encoding="utf-8") as f:
-            got = m.extract(a.evidence_id, f.read())
+            got = _extract(m, {"evidence_id": a.evidence_id, "content": f.read(), "actor": "cli", "async": a.command == "extract-async"})
     elif a.command == "query":
         got = _plain({"entry_points": m.entry_points(a.text), **m.knowledge(a.text)})
     else:

@@ -12,7 +12,6 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.operators.mutations import first_kept, latest
 from mnemora.schema import SCHEMA_VERSION, TABLES
 
 #: Columns that an upsert by column replaces; the others keep what was written first.
@@ -31,10 +30,13 @@ class Conflict(RuntimeError):
     """Another batch was published first."""
 
 
-def _place(version: int) -> Column:
-    """A row's place: version, then partition (16 bits), then place in it (28 bits)."""
-    at = F.monotonically_increasing_id()
-    return F.lit(version << 44).cast("long") + F.shiftleft(F.shiftright(at, 33), 28) + at.bitwiseAND(F.lit((1 << 33) - 1))
+#: The type of ``_seq``: wide enough for any version beside any place in a batch.
+SEQ = "DECIMAL(38,0)"
+
+
+def place(version: int, at: Column) -> Column:
+    """A row's place in the order of writing: its version, then its place ``at`` in the batch, 63 bits."""
+    return (F.lit(str(version << 64)).cast(SEQ) + at.cast("DECIMAL(20,0)")).cast(SEQ)
 
 
 class Store:
@@ -82,37 +84,41 @@ class Store:
         """Every row written to ``table``, as of a version."""
         batches = self.manifest(version)["tables"].get(table, [])
         if not batches:
-            return self.spark.createDataFrame([], f"{TABLES[table]}, _seq BIGINT")
-        return self.spark.read.schema(f"{TABLES[table]}, _seq BIGINT").parquet(*[f"{self.folder}/tables/{table}/{b}" for b in batches])
+            return self.spark.createDataFrame([], f"{TABLES[table]}, _seq {SEQ}")
+        return self.spark.read.schema(f"{TABLES[table]}, _seq {SEQ}").parquet(*[f"{self.folder}/tables/{table}/{b}" for b in batches])
 
-    def table(self, table: str, version: int | None = None, by_column: bool = False) -> DataFrame:
-        """The current rows with ``_seq``: per id the last one whole, or, ``by_column``, upserted column by column."""
+    def table(self, table: str, version: int | None = None, by_column: bool = False, where: Column | None = None) -> DataFrame:
+        """The current rows with ``_seq`` and, of the first row of the id, ``_first_seq``: per id the last one whole, or,
+        ``by_column``, upserted column by column. ``where``: a condition on ``id``, put to the rows before they meet."""
         rows = self.rows(table, version)
+        rows = rows if where is None else rows.where(where)
         if "id" not in rows.columns:
             return rows
         columns = [c for c in rows.columns if c not in ("id", "_seq")]
-        if table in WRITE_ONCE:
-            first = rows.groupBy("id").agg(F.min(F.struct("_seq", *columns)).alias("v"))
-            return first.select("id", *[f"v.{c}" for c in columns], "v._seq").select(*rows.columns)
-        changing = [c for c in CHANGING.get(table, columns)] if by_column else columns
-        fixed = [c for c in columns if c not in changing]
-        found = first_kept(rows, "id", "_seq", fixed, changing) if fixed else latest(rows, "id", "_seq", columns)
-        return found.select(*rows.columns)
+        once = table in WRITE_ONCE
+        fixed = columns if once else [c for c in columns if by_column and c not in CHANGING.get(table, columns)]
+        changing = [c for c in columns if c not in fixed]
+        a, b = F.min(F.struct("_seq", *fixed)).alias("a"), F.max(F.struct("_seq", *changing)).alias("b")
+        found = rows.groupBy("id").agg(a, b)
+        return found.select("id", *[f"a.{c}" if c in fixed else f"b.{c}" for c in columns], F.col("a._seq" if once else "b._seq").alias("_seq"), F.col("a._seq").alias("_first_seq"))
 
     def get(self, table: str, key: str) -> dict:
         """One current row as a dict; KeyError where there is none."""
-        found = self.table(table).where(F.col("id") == key).limit(1).collect()
+        found = self.table(table, where=F.col("id") == key).collect()
         if not found:
             raise KeyError(f"{table}: {key} not found")
         return found[0].asDict(recursive=True)
 
     def last_sequence(self) -> int:
-        return self.rows("journal").agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+        """The greatest sequence of the journal, kept by each batch."""
+        known = self.manifest().get("sequence")
+        return known if known is not None else self.rows("journal").agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
 
     # Writing ---------------------------------------------------------------------------------------------------
 
-    def commit(self, changes: dict[str, DataFrame], order: str | None = None) -> int:
-        """Append rows to several tables as one batch; gives the version. Columns left out are null.
+    def commit(self, changes: dict[str, DataFrame], order: str | None = None, replace: tuple[str, ...] = ()) -> int:
+        """Append rows to several tables as one batch; gives the version. Columns left out are null. Of tables in
+        ``replace`` only the new rows count from now on.
 
         ``_seq`` grows from batch to batch and, within one, in the order of ``order``, a column that need not belong
         to the table; it has holes.
@@ -125,18 +131,30 @@ class Store:
             schema = self.spark.createDataFrame([], TABLES[name]).schema
             if order and order in rows.columns:
                 rows = rows.repartitionByRange(order).sortWithinPartitions(order)
-            shaped = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema], _place(before + 1).alias("_seq"))
+            shaped = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema], place(before + 1, F.monotonically_increasing_id()).alias("_seq"))
             shaped.write.parquet(f"{self.folder}/tables/{name}/{batch}")
-            tables.setdefault(name, []).append(batch)
-        self._publish(before + 1, {"schema": SCHEMA_VERSION, "batch": batch, "tables": tables})
+            tables[name] = [batch] if name in replace else [*tables.get(name, []), batch]
+        last = content.get("sequence", 0 if not content["tables"].get("journal") else self.last_sequence())
+        if "journal" in changes:
+            written = self.spark.read.schema(f"{TABLES['journal']}, _seq {SEQ}").parquet(f"{self.folder}/tables/journal/{batch}")
+            last = max(last, written.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0])
+        self._publish(before + 1, {"schema": SCHEMA_VERSION, "batch": batch, "tables": tables, "sequence": last})
         return before + 1
 
     def compact(self, table: str) -> int:
-        """Rewrite a table's current rows as one batch; older versions stay readable."""
+        """Rewrite a table as one batch of each id's first and last row, so that nothing that can be asked of it
+        changes; older versions stay readable."""
         content = self.manifest()
         n = self.version() + 1
         batch = f"{n:010d}-compact-{self.spark._jvm.java.util.UUID.randomUUID().toString()[:8]}"
-        self.table(table).write.parquet(f"{self.folder}/tables/{table}/{batch}")
+        rows = self.rows(table)
+        kept = rows
+        if "id" in rows.columns:
+            whole = F.struct("_seq", *[c for c in rows.columns if c not in ("id", "_seq")])
+            ends = rows.groupBy("id").agg(F.min(whole).alias("a"), F.max(whole).alias("b"))
+            last = F.when(F.col("b._seq") > F.col("a._seq"), F.array("a", "b")).otherwise(F.array("a"))
+            kept = ends.select("id", F.explode(last).alias("v")).select(*[F.col("id") if c == "id" else F.col(f"v.{c}").alias(c) for c in rows.columns])
+        kept.write.parquet(f"{self.folder}/tables/{table}/{batch}")
         self._publish(n, {**content, "batch": batch, "tables": {**content["tables"], table: [batch]}})
         return n
 
@@ -144,7 +162,7 @@ class Store:
 
     def export_json(self, table: str, folder: str) -> None:
         """The current rows as JSON lines, arrays and structs as JSON."""
-        self.table(table).drop("_seq").write.json(folder)
+        self.table(table).drop("_seq", "_first_seq").write.json(folder)
 
     def import_json(self, table: str, folder: str) -> int:
         """Append rows from JSON lines; fields that are missing or of another type are null."""

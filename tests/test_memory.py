@@ -8,9 +8,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.memory import Memory, MemoryError_
+from mnemora.operators import extraction
+from mnemora.memory import Memory, MemoryError_, number_text
 from mnemora.server import answer, main, tool, tools_over_stdio
-from mnemora.sources.store import Conflict
+from mnemora.sources.store import Conflict, place
 from mnemora.streaming import replication
 
 
@@ -112,6 +113,66 @@ def test_traversal(filled):
     assert len(filled.relationships_of("obj:postgresql")) == 3  # in, and a self-loop twice
 
 
+@pytest.fixture
+def merged(spark, tmp_path):
+    """a-b, c-d, b-e; then b is merged into c."""
+    m = Memory(spark, str(tmp_path / "merged"), Clock())
+    m.create_evidence("ev:x")
+    for n in "abcde":
+        m.create_object("t", n)
+    m.create_relationship("obj:a", "related_to", "obj:b", ["ev:x"], 0.5)
+    m.create_relationship("obj:c", "related_to", "obj:d", ["ev:x"], 0.5)
+    m.create_relationship("obj:b", "related_to", "obj:e", ["ev:x"], 0.5)
+    m.merge("obj:b", "obj:c")
+    return m
+
+
+def test_walks_follow_merges_at_each_step_and_keep_recorded_ids(merged):
+    nodes = [r["nodes"] for r in merged.traverse("obj:a").orderBy("rank").collect()]
+    assert nodes == [["obj:a", "obj:b"], ["obj:a", "obj:b", "obj:d"]]
+    assert [r["nodes"] for r in merged.paths("obj:a", "obj:d").collect()] == [["obj:a", "obj:b", "obj:d"]]
+    assert merged.paths("obj:a", "obj:e").count() == 0  # recorded under the merged id: merging does not rewrite facts
+    assert [r["nodes"] for r in merged.paths("obj:a", "obj:c").collect()] == [["obj:a", "obj:b"]]
+    assert merged.resolve("obj:b") == "obj:c" and merged.context_of("obj:b")["paths"][0]["nodes"] == ["obj:c", "obj:d"]
+    merged.merge("obj:c", "obj:a")
+    assert merged.resolve("obj:b") == "obj:a" == merged.resolve("obj:c")
+
+
+def test_a_foreign_edge_still_visits_what_it_leads_to(filled):
+    filled.create_object("t", "q")
+    filled.create_relationship("obj:migration-failure", "related_to", "obj:postgresql", ["ev:e1"], tenant_id="other")
+    filled.create_relationship("obj:postgresql", "related_to", "obj:q", ["ev:e1"])
+    got = [r["nodes"] for r in filled.context_of("obj:migration-failure")["paths"]]
+    assert ["obj:migration-failure", "obj:switch-to-cockroachdb", "obj:postgresql", "obj:q"] in got
+    filled.create_relationship("obj:migration-failure", "caused_by", "obj:switch-to-cockroachdb", ["ev:e2"], 0.9)  # keeps its place
+    assert filled.traverse("obj:migration-failure").orderBy("rank").first()["nodes"][1] == "obj:switch-to-cockroachdb"
+
+
+def test_numbers_are_written_whole(filled):
+    for x, text in ((1234567, "1234567"), (99.9, "99.9"), (3.0, "3"), (1e21, "1e+21"), (1e-7, "1e-7"), (-0.1234567891, "-0.1234567891"), (123456789012345680000.0, "123456789012345680000")):
+        assert number_text(x) == text
+    filled.create_claim("obj:postgresql", "has_value", 1234567, ["ev:e1"])
+    assert filled.get("claims", "claim:obj:postgresql:has_value")["object_or_value"] == "1234567"
+
+
+def test_compaction_changes_nothing_that_can_be_asked(filled):
+    filled.create_claim("obj:postgresql", "has_role", "Replica", ["ev:e2"], 0.9)
+    filled.create_claim("obj:postgresql", "has_role", "Third", ["ev:e2"], 0.7)
+    seen = lambda: [sorted(map(str, filled.store.table(t, by_column=c).drop("_seq", "_first_seq").collect())) for t in ("claims", "objects", "journal", "provenance") for c in (False, True)]
+    before, last = seen(), filled.store.last_sequence()
+    for t in ("claims", "objects", "journal", "provenance"):
+        filled.store.compact(t)
+    assert seen() == before and filled.store.last_sequence() == last
+    assert filled.store.table("claims", by_column=True).where(F.col("subject_id") == "obj:postgresql").first()["object_or_value"] == "PrimaryDatabase"
+
+
+def test_places_beyond_any_number_of_partitions(spark):
+    at = [(1 << 62) + 5, (70_000 << 33) + (1 << 30), 0]
+    df = spark.createDataFrame([(i,) for i in at], "at LONG")
+    got = [int(r[0]) for r in df.select(place(1, F.col("at"))).collect()]
+    assert got == [(1 << 64) + i for i in at] and max(got) < int(df.select(place(2, F.lit(0))).first()[0])
+
+
 def test_entry_points_and_keywords(filled):
     filled.represent("ev:e1", "PostgreSQL was chosen as primary database")
     filled.represent("ev:e2", "migration caused outage in june")
@@ -160,12 +221,13 @@ def test_segments(filled):
     filled.add_membership(ctx, "object", "obj:postgresql")
     seg = filled.export_segment(ctx)
     assert filled.get("segments", seg)["payload_hash"] == "ctx:r:1:0"
-    assert filled.import_segment(seg) == {"verified": True, "applied": True}
-    assert filled.import_segment(seg, apply=False) == {"verified": True, "applied": False}
+    assert filled.import_segment(seg, apply=True) == {"verified": True, "applied": True}
+    assert [e["operation"] for e in filled.journal(filled.store.last_sequence() - 2)] == ["import_verified", "import_applied"]
+    assert filled.import_segment(seg) == {"verified": True, "applied": False}
     held = filled.store.table("segments").where(F.col("id") == seg)
     assert filled.import_segment(held.withColumn("payload_hash", F.lit("x"))) == {"verified": False, "applied": False}
     with pytest.raises(MemoryError_, match="object not found locally: obj:no"):
-        filled.import_segment(held.withColumn("included_objects", F.array(F.lit("obj:no"))))
+        filled.import_segment(held.withColumn("included_objects", F.array(F.lit("obj:no"))), apply=True)
     old = filled.export_segment(ctx, expires_in_days=-1)
     with pytest.raises(MemoryError_, match="expired"):
         filled.import_segment(old)
@@ -277,11 +339,75 @@ def test_http_tools_and_commands(filled, capsys):
     assert answer(filled, "GET", "/replication/events?since=3", token="t")[0] == 401
     assert answer(filled, "GET", "/replication/events?since=3", token="t", given="Bearer t")[1]["events"][0]["sequence"] == 4
     assert answer(filled, "POST", "/replication/events", {"events": [{"id": "event:far", "sequence": 99, "operation": "create"}]})[1] == {"applied": 1}
-    assert tool(filled, "get_object", {"id": "obj:postgresql"})["name"] == "PostgreSQL"
+    assert tool(filled, "memory_get_object", {"id": "obj:postgresql"})["name"] == "PostgreSQL"
+    assert tool(filled, "memory_query_context", {"startObjectId": "obj:migration-failure", "maxDepth": 1})["claims"]
+    with pytest.raises(ValueError, match="id is missing"):
+        tool(filled, "memory_get_claim", {})
     out = io.StringIO()
     tools_over_stdio(filled, ['{"id": 1, "method": "tools/list"}', '{"id": 2, "method": "tools/call", "params": {"name": "none"}}'], out)
     first, second = map(json.loads, out.getvalue().splitlines())
-    assert len(first["result"]["tools"]) == 9 and "error" in second
+    assert len(first["result"]["tools"]) == 9 and first["result"]["tools"][0]["inputSchema"]["required"] == ["id"] and "error" in second
     assert len(main(["journal", "--since", "1"], filled)) == len(filled.journal(1))
 
 
+
+
+def test_request_bodies(filled):
+    post = lambda url, **body: answer(filled, "POST", url, body)
+    status, got = post("/query/context", startObjectId="obj:migration-failure", maxDepth=1, tenantId="default")
+    assert status == 200 and len(got["paths"]) == 1 and len(got["claims"]) == 1
+    assert len(post("/query/multi-hop", startObjectId="obj:migration-failure", endObjectId="obj:postgresql", maxDepth=4)[1]) == 1
+    assert post("/query/multi-hop", startObjectId="obj:migration-failure")[0] == 400
+    status, got = post("/candidates", type="ClaimCandidate", payload={"x": 1}, evidenceRefs=["ev:e1"], extractor="hand", extractorVersion="2", actor="http", tenantId="default")
+    assert status == 200 and filled.get("candidates", got["id"])["extractor"] == "hand"
+    assert post("/extract", evidenceId="ev:e1", content="A is b.", **{"async": True})[0] == 400
+    filled.slow_model = extraction.by_patterns
+    status, got = post("/extract", evidenceId="ev:e1", content="Redis caused by disk.", tenantId="default", **{"async": True})
+    assert status == 200 and got["candidatesCreated"] == 1 == got["accepted"]
+    assert filled.store.table("candidates").where("extractor = 'async-extraction'").count() == 1
+    post("/contexts", type="t", name="C")
+    post("/contexts/ctx:c/memberships", memberType="object", memberId="obj:postgresql")
+    status, segment = post("/segments/export", rootContext="ctx:c", purpose="p", sensitivity="public", expiresInDays=3)
+    assert status == 200 and segment["sensitivity"] == "public" and segment["included_objects"] == ["obj:postgresql"]
+    sent = json.loads(json.dumps(segment, default=str))
+    assert post("/segments/import", segment=sent, autoApply=True)[1] == {"verified": True, "applied": True}
+    assert post("/segments/import", segment={**sent, "signature": "no"})[1] == {"verified": False, "applied": False}
+    assert post("/segments/import", segment=sent)[1] == {"verified": True, "applied": False}
+
+
+def test_models_can_be_swapped(spark, template, tmp_path):
+    shutil.copytree(template, tmp_path / "swapped")
+    m = Memory(
+        spark, str(tmp_path / "swapped"), Clock(), decide=lambda c, held: c.withColumn("verdict", F.lit("Reject")).withColumn("reasoning", F.lit("never")), policy=lambda d: d.withColumn("action", F.lit("Deny")),
+        represent=lambda t, key, text, kind: t.select(key, F.lit(kind).alias("type"), F.upper(text).alias("content"), F.lit(1).alias("token_count"), F.array(F.lit("x")).alias("semantic_classes")),
+        embed=lambda t, key, text: t.select(key, F.lit(3).alias("bucket"), F.lit(1.0).alias("weight")), agent_gate=lambda asked, policies: asked.withColumn("allowed", F.lit(True)),
+        sign=lambda h: F.concat(F.lit("mine:"), h), verify=lambda s: F.col("signature") == F.concat(F.lit("mine:"), "payload_hash"), extract=lambda t: (extraction.extract_claims(t.withColumn("content", F.lit("Alpha is beta.")), "evidence_id", "content"), extraction.extract_relationships(t, "evidence_id", "content")),
+    )
+    d = m.decide(m.propose("RelationshipCandidate", {}, ["ev:e1", "ev:e2"]))
+    assert (d["verdict"], d["reasoning"], m.apply_policy(d["id"])["action"]) == ("Reject", "never", "Deny")
+    assert m.extract("ev:e1", "nothing here") == {"candidates": 1, "accepted": 0, "quarantined": 0, "rejected": 1}
+    assert m.get("representations", m.represent("ev:e1", "abc"))["content"] == "ABC" and m.representations_of("ev:e1")
+    assert m.embed("ev:e1", "abc")[3] == 1.0
+    ctx = m.create_context("t", "C")
+    assert m.agent_context(ctx, agent_id="unknown") is not None
+    seg = m.export_segment(ctx)
+    assert m.get("segments", seg)["signature"].startswith("mine:") and m.import_segment(seg)["verified"]
+
+
+def test_extraction_of_many_texts_is_one_batch(spark, memory):
+    for e in ("ev:a", "ev:b", "ev:c"):
+        memory.create_evidence(e)
+    memory.mark_unavailable("ev:c")
+    memory.create_object("t", "Redis")
+    texts = [(1, "ev:a", "Redis is cache.\nDisk has role store.", "t1"), (0, "ev:b", "Redis caused by Disk.\ndisk depends on Kafka.", "t2"), (2, "ev:c", "X is y.", "t1"), (3, "ev:none", "X is y.", "t1"), (4, "ev:a", None, "t1")]
+    version, last = memory.store.version(), memory.store.last_sequence()
+    got = {r["evidence_id"]: (r["candidates"], r["accepted"], r["quarantined"]) for r in memory.extract_all(spark.createDataFrame(texts, "ord INT, evidence_id STRING, content STRING, tenant_id STRING")).collect()}
+    assert memory.store.version() == version + 1
+    assert got["ev:b"] == (2, 2, 0) and got["ev:a"][0] == got["ev:a"][1] + got["ev:a"][2] and got["ev:a"][1] == 1 and set(got) == {"ev:a", "ev:b"}
+    objects = {r["id"]: r for r in memory.store.table("objects").collect()}
+    assert set(objects) == {"obj:redis", "obj:disk", "obj:kafka"} and objects["obj:disk"]["name"] == "Disk" and objects["obj:disk"]["tenant_id"] == "t2"
+    assert {r["id"] for r in memory.store.table("relationships").collect()} == {"rel:obj:redis:caused_by:obj:disk", "rel:obj:disk:depends_on:obj:kafka"}
+    new = memory.journal(last)
+    assert [e["sequence"] for e in new] == list(range(last + 1, last + 1 + len(new)))
+    assert [e["operation"] + " " + e["entity_type"] for e in new][:5] == ["propose candidate", "decide decision", "apply_policy policy", "create object", "create relationship"]
+    assert memory.store.table("candidates").where(F.col("payload").contains("Pattern match: Redis caused by Disk.")).count() == 1

@@ -30,7 +30,7 @@ def test_dropping_hopeless_paths_loses_none(spark):
 def test_journal_is_cut_by_its_own_length(spark, tmp_path):
     rows = [(i, f"e{i}", "object", f"obj:{i}") for i in range(1, 101)] + [(90, "e3", "object", "obj:3"), (95, "e70", "object", "obj:70")]
     spark.createDataFrame(rows, "sequence long, id string, entity_type string, entity_id string").write.parquet(str(tmp_path / "journal.parquet"))
-    got = sorted((r["sequence"], r["id"]) for r in entry.queries()["journal_apply_half"](spark, str(tmp_path)).collect())
+    got = sorted((r["sequence"], r["id"]) for r in entry.queries()["journal_apply"](spark, str(tmp_path)).collect())
     assert got == [(i, f"e{i}") for i in range(51, 101)]
 
 
