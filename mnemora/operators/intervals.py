@@ -1,6 +1,6 @@
 """Continuous periods and gaps of overlapping intervals (problem 1).
 
-Plan: one range exchange on (key, start) — a hot key is cut into several ranges like any other run of rows — then
+Plan: one range exchange on (key, start, end) — a hot key is cut into several ranges like any other run of rows — then
 two scans of the sorted, materialised partitions. The first scan reduces each partition to one summary row, the driver
 combines those (one row a partition, whatever the data's size) from left to right, and the second scan gives every row
 the state carried into its partition. No row is shuffled again.
@@ -121,9 +121,8 @@ def periods_and_gaps(intervals: DataFrame) -> DataFrame:
     Touching intervals are continuous; repeated and nested ones change nothing; an empty input gives an empty result.
     Needs e > s and no nulls (``claim_intervals`` sees to both). Times come out as UTC texts to the second.
     """
-    spark = intervals.sparkSession
     # the count is explicit, so adaptive execution keeps partitions as ranged: whole runs in order of their numbers
-    spread = intervals.select("key", "s", "e").repartitionByRange(partitions(spark), "key", "s").sortWithinPartitions("key", "s")
+    spread = intervals.select("key", "s", "e").repartitionByRange(partitions(intervals), "key", "s", "e").sortWithinPartitions("key", "s", "e")
     ranged = cut(spread.withColumn("pid", F.spark_partition_id()))
     summaries = ranged.mapInPandas(_summaries, "pid int, k0 string, s0 long, key string, top long, begin long").collect()
     carried = _combine(summaries)

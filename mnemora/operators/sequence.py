@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,16 +18,15 @@ def numbered(rows: DataFrame, order: list[str], column: str, start: int = 1) ->
     Rows are ranged and sorted, then each partition adds the number of rows before it: one count a partition comes to
     the driver, whatever the number of rows. Ties are numbered in some order, each number once.
     """
-    ranged = cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order))
+    ranged = cut(rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order))
     placed = ranged.withColumn("__at", F.monotonically_increasing_id())
-    pid, nth = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    pid, nth = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["n"]) for r in placed.groupBy(pid.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, pairs = start, []
-    for p, n in counts:
-        pairs += [F.lit(int(p)), F.lit(before).cast("long")]
-        before += n
-    offsets = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(start).cast("long"))
-    return placed.withColumn(column, F.element_at(offsets, pid.cast("int")) + nth).drop("__at")
+    starts = list(accumulate((n for _, n in counts), initial=start))
+    offsets = rows.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(counts, starts, strict=False)], "__p int, __start long")
+    # one row a partition
+    numbers = placed.withColumn("__p", pid).join(F.broadcast(offsets), "__p")
+    return numbers.withColumn(column, F.col("__start") + nth).drop("__at", "__p", "__start")
 
 
 def lagged(rows: DataFrame, group: list[str], order: list[str], column: str, out: str) -> DataFrame:
@@ -36,7 +36,7 @@ def lagged(rows: DataFrame, group: list[str], order: list[str], column: str, out
     one before it, of which one a partition comes to the driver. Groups and order must not hold nulls.
     """
     keys = [*group, *order]
-    ranged = cut(rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(partitions(rows), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id()))
     ends = ranged.groupBy("__pid").agg(F.max(F.struct(*keys, F.col(column).alias("__value"))).alias("v")).select("__pid", *[F.col(f"v.{g}").alias(g) for g in group], "v.__value").collect()
     before, last = {}, None
     for r in sorted(ends, key=lambda r: r["__pid"]):

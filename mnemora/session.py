@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where the session names none (tests, laptops)."""
+    """The cluster's checkpoint folder, as the session names it.
+
+    Where it names none, a private folder, gone with the process, serves a session on one machine (tests, laptops); on
+    a cluster, whose executors could not reach it, that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="mnemora-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -24,5 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def partitions(rows: DataFrame, each: int = 256 << 20) -> int:
+    """How many ranges to cut ``rows`` into: as many as the session shuffles to, more where the input is larger than
+    ``each`` bytes a range, by the plan's own estimate."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(size // each, 1_000_000))
