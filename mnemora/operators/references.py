@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.session import cut
 from mnemora.sources.tables import current_objects
 
 SALTS = 16
@@ -46,11 +47,11 @@ def failing_references(refs: DataFrame, parents: DataFrame, salts: int = SALTS)
     """(table_name, field_name, row_seq, ref_key, kind, period) of each reference that fails, without repeats.
 
     Distinct keys are aggregated before they are shuffled, so a key that a third of all rows name costs one row a
-    task. Keys that can fail no row (present, not gone, born before the first row naming them) leave here. What is
+    task; they are written once and read by both joins with the parents. Keys that can fail no row (present, not gone, born before the first row naming them) leave here. What is
     left is joined back over (key, salt): the failing keys, few, are repeated once a salt; the rows of a hot key fall
     into ``salts`` tasks. ``period`` is ``unknown`` where the referring row has no time, and such a row is never late.
     """
-    keys = refs.groupBy("parent", "ref_key").agg(F.min("at").alias("first"))
+    keys = cut(refs.groupBy("parent", "ref_key").agg(F.min("at").alias("first")))
     missing = keys.join(parents, ["parent", "ref_key"], "left_anti").select("parent", "ref_key", F.lit("missing").alias("fault"), F.lit(None).cast("timestamp_ntz").alias("born"))
     present = keys.join(parents, ["parent", "ref_key"], "inner").where(F.col("gone") | (F.col("born") > F.col("first")))
     held = present.select("parent", "ref_key", F.when(F.col("gone"), F.lit("deleted")).otherwise(F.lit("late")).alias("fault"), F.col("born").cast("timestamp_ntz").alias("born"))
