@@ -200,6 +200,12 @@ def decide(candidates: DataFrame, claims_before: int = 0) -> DataFrame:
     return actions(verdicts(candidates, claims_before))
 
 
+def undecided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``candidates`` without a decision yet: a verdict is given once."""
+    given = decisions.select(F.col("candidate_ref").alias("id")).where(F.col("id").isNotNull()).distinct()
+    return candidates.join(given, "id", "left_anti")
+
+
 def by_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims and relationships of (evidence_id, content), by the fixed patterns."""
     return extract_claims(texts, "evidence_id", "content"), extract_relationships(texts, "evidence_id", "content")
