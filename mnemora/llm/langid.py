@@ -229,12 +229,14 @@ def training_sample(documents: DataFrame, languages: DataFrame, documents_used:
     ``sentences_used``: that many, within chance, come to the driver, whatever the number and length of the texts.
     """
     codes = languages.where(F.col("lang_code").isNotNull()).select(F.lower("lang_code").alias("label")).distinct()
-    labelled = documents.select("doc_id", code_of(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull()).join(codes, "label", "left_semi")
+    # ids and labels only, until the few documents to be read are known
+    labelled = documents.where(F.col("text").isNotNull()).select("doc_id", code_of(F.col("lang")).alias("label")).join(codes, "label", "left_semi")
     counts = cut(labelled.groupBy("label").agg(F.count("*").alias("n")))
     even = documents_used / max(1, counts.agg(F.sum("n")).first()[0] or 0)
     shares = counts.select("label", F.least(F.lit(1.0), F.greatest(F.lit(even), F.lit(LEAST) / F.col("n"))).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    drawn = labelled.join(shares, "label").where(draw < F.col("share")).select("doc_id", "label", "text")
+    ids = cut(labelled.join(shares, "label").where(draw < F.col("share")).select("doc_id", "label"))
+    drawn = documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id").where(F.col("text").isNotNull())
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

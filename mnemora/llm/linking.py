@@ -34,66 +34,66 @@ def _swapped(a: Column, b: Column) -> Column:
     return (F.size(d) == 2) & (F.get(d, F.lit(1)) == F.get(d, F.lit(0)) + 1) & (letter(a, 0) == letter(b, 1)) & (letter(a, 1) == letter(b, 0))
 
 
-def similar_strings(strings: DataFrame, column: str, k: int = 1, within: tuple[str, ...] = (), shortest: int = 0, longest: int | None = None) -> DataFrame:
-    """(*within, a, b, edits): every pair of strings of ``column``, equal in ``within``, at most ``k`` edits apart, in
-    both orders; each string beside itself too, at 0 edits.
-
-    A string is cut into k + 1 segments, of which k edits leave one as it is. Segments go into an inverted index by
-    (``within``, length, number, text); each string looks up, for each length up to k shorter, its substrings at the
-    few positions to which a segment can have moved (multi-match-aware selection). What is found together is verified
-    by edit distance within a band of k. For k = 1 a swap of neighbouring letters counts as one edit too: the swap that
-    straddles the cut is looked up as a swapped copy. Nulls and strings of k letters or fewer have no partners but
-    themselves. Repeated strings count once. With ``shortest`` and ``longest`` the shorter of a pair is that long. The
-    exchange carries segments, not pairs; pairs arise only under one segment.
+def similar_strings(strings: DataFrame, column: str, k: int = 1, within: tuple[str, ...] = ()) -> DataFrame:
+    """``similar_by_length`` with ``k`` edits at any length; strings of k letters or fewer have no partners but themselves."""
+    return similar_by_length(strings, column, within, ((k + 1, k),))
+
+
+def similar_by_length(strings: DataFrame, column: str, within: tuple[str, ...] = (), edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
+    """(*within, a, b, edits): every pair of strings of ``column``, equal in ``within``, as few edits apart as the
+    shorter one's length allows, in both orders; each string beside itself too, at 0 edits.
+
+    ``edits``: (from so many letters on, k), growing; shorter strings have no partners but themselves. A string is cut
+    into k + 1 segments, of which k edits leave one as it is. Segments go into an inverted index by (``within``, length,
+    number, text); each string looks up, for each length up to k shorter, its substrings at the few positions to which
+    a segment can have moved (multi-match-aware selection). What is found together is verified by edit distance within
+    a band of k. For k = 1 a swap of neighbouring letters counts as one edit too: the swap that straddles the cut is
+    looked up as a swapped copy. Nulls have no row, repeated strings count once. One join: the exchange carries
+    segments, not pairs; pairs arise only under one segment.
     """
     s = strings.select(*within, F.col(column).alias("a")).where(F.col(column).isNotNull()).distinct()
-    s = s.where(F.length("a") >= shortest)
-    if longest is not None:
-        s = s.where(F.length("a") <= longest + k)
-    long = s.where(F.length("a") > k)
-    short = (F.length("a") <= longest) if longest is not None else F.lit(True)
     n = F.length("a")
 
-    def start(length: Column, i: int) -> Column:
+    def start(length: Column, i: int, k: int) -> Column:
         return F.floor(length * i / (k + 1)).cast("int")
 
-    def cut_out(text: Column, length: Column, i: int, shift: int = 0) -> Column:
-        return F.struct(length.alias("n"), F.lit(i).alias("no"), text.substr(start(length, i) + 1 + shift, start(length, i + 1) - start(length, i)).alias("piece"))
-
-    index = long.where(short).select(*within, F.col("a").alias("b"), F.inline(F.array(*[cut_out(F.col("a"), n, i) for i in range(k + 1)])))
-    asked = [
-        cut_out(F.col("a"), n - less, i, shift)
-        for less in range(k + 1)
-        for i in range(k + 1)
-        for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)
-    ]
-    if k == 1:
-        at = start(n, 1)
-        turned = F.concat(F.col("a").substr(F.lit(1), at - 1), F.col("a").substr(at + 1, F.lit(1)))
-        asked.append(F.struct(n.alias("n"), F.lit(0).alias("no"), turned.alias("piece")))
-    met = long.select(*within, "a", F.inline(F.array(*asked))).join(index, [*within, "n", "no", "piece"])
+    def cut_out(length: Column, i: int, k: int, shift: int = 0) -> Column:
+        piece = F.col("a").substr(start(length, i, k) + 1 + shift, start(length, i + 1, k) - start(length, i, k))
+        return F.struct(length.alias("n"), F.lit(i).alias("no"), piece.alias("piece"))
+
+    def only(when: Column, pieces: list[Column]) -> Column:
+        return F.when(when, F.array(*pieces)).otherwise(F.array().cast("array<struct<n:int,no:int,piece:string>>"))
+
+    held, asked, allowed = [], [], F.lit(0)
+    ends = [*(at for at, _ in edits[1:]), None]
+    for (at, k), end in zip(edits, ends, strict=True):
+        short = n >= at if end is None else n.between(at, end - 1)
+        held.append(only(short, [cut_out(n, i, k) for i in range(k + 1)]))
+        looked = [
+            cut_out(n - less, i, k, shift)
+            for less in range(k + 1)
+            for i in range(k + 1)
+            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)
+        ]
+        if k == 1:
+            middle = start(n, 1, k)
+            turned = F.concat(F.col("a").substr(F.lit(1), middle - 1), F.col("a").substr(middle + 1, F.lit(1)))
+            looked.append(F.struct(n.alias("n"), F.lit(0).alias("no"), turned.alias("piece")))
+        asked.append(only(n >= at if end is None else n.between(at, end - 1 + k), looked))
+        allowed = F.when(F.length("b") >= at, F.lit(k)).otherwise(allowed)
+    index = s.select(*within, F.col("a").alias("b"), F.inline(F.concat(*held)))
+    met = s.select(*within, "a", F.inline(F.concat(*asked))).join(index, [*within, "n", "no", "piece"])
     a, b = F.col("a"), F.col("b")
-    same_length = F.length(a) == F.length(b)
-    far = F.levenshtein(a, b, k)
-    edits = F.when(far >= 0, far).when(same_length & _swapped(a, b), F.lit(1)) if k == 1 else F.when(far >= 0, far)
-    judged = met.withColumn("edits", edits).where(F.col("edits").isNotNull())
+    far = F.levenshtein(a, b, max(k for _, k in edits))
+    swap = (allowed == 1) & (F.length(a) == F.length(b)) & _swapped(a, b)
+    judged = met.withColumn("edits", F.when((far >= 0) & (far <= allowed), far).when(swap, F.lit(1))).where(F.col("edits").isNotNull())
     # equally long strings meet from both sides, others from the longer one only
     both = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
     found = judged.select(*within, F.inline(both), "edits").distinct()
-    tiny = s.where((F.length("a") <= k) & short).select(*within, "a", F.col("a").alias("b"), F.lit(0).alias("edits"))
+    tiny = s.where(n < edits[0][0]).select(*within, "a", F.col("a").alias("b"), F.lit(0).alias("edits"))
     return found.unionByName(tiny)
 
 
-def similar_by_length(strings: DataFrame, column: str, within: tuple[str, ...] = (), edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
-    """``similar_strings`` with as many edits as the shorter string's length allows; each string beside itself too."""
-    bounds = [(0, 0), *edits]
-    out = None
-    for (at, k), (end, _) in zip(bounds, [*bounds[1:], (None, 0)], strict=True):
-        one = similar_strings(strings, column, k, within, at, None if end is None else end - 1)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # Words -------------------------------------------------------------------------------------------------------------
 
 

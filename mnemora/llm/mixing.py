@@ -16,6 +16,8 @@ from mnemora.session import cut
 #: Bits of the hash that one histogram tells apart, and the histograms taken: 4 x 10 of the 60 bits used.
 BITS, LEVELS = 10, 4
 SALTS = 8
+#: Sources in the targets that are broadcast at most.
+BROADCAST = 100_000
 
 
 def source_name(text: Column) -> Column:
@@ -93,8 +95,12 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None
     named = mix_targets.where(F.col("source_name").isNotNull()).groupBy(source_name(F.col("source_name")).alias("source_name"))
     share, most = F.coalesce(F.sum(F.greatest(F.col("target_share"), F.lit(0.0))), F.lit(0.0)), F.greatest(F.max("max_repeats"), F.lit(0))
     targets = cut(named.agg(share.alias("target_share"), F.coalesce(most, F.lit(0)).cast("int").alias("max_repeats")))
-    listed = documents.withColumn("source_name", source_name(F.col("source"))).join(targets.select("source_name"), "source_name", "left_semi")
-    rows = cut(token_counts(listed, path, "source_name").where(F.col("n_tokens") > 0).withColumn("draw", _draw()))
+    named_so, names = documents.withColumn("source_name", source_name(F.col("source"))), targets.select("source_name")
+    if targets.count() <= BROADCAST:
+        sized = token_counts(named_so.join(F.broadcast(names), "source_name", "left_semi"), path, "source_name")
+    else:  # no text is shuffled: those of other sources are measured too, and left out then
+        sized = token_counts(named_so, path, "source_name").join(names, "source_name", "left_semi")
+    rows = cut(sized.where(F.col("n_tokens") > 0).withColumn("draw", _draw()))
     copies = F.col("copies") + (F.col("draw") < F.col("threshold")).cast("int")
     taken = _beside(rows, plan_mix(rows, targets, total), SALTS).select("doc_id", "source_name", "n_tokens", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
     given = taken.groupBy("source_name").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))

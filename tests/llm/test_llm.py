@@ -309,6 +309,17 @@ def test_mix(spark):
     assert (capped["most_copies"] == capped["max_repeats"].where(capped["tokens"] > 0, 0)).all()
 
 
+def test_many_sources_and_no_broadcast(spark, monkeypatch):
+    docs = [("w " * (1 + i % 7), f"s{i % 40}") for i in range(400)]
+    targets = [(f"s{i}", 1 / 50, 2) for i in range(50)]
+    whole = mixed(spark, docs, targets)
+    monkeypatch.setattr(mixing, "BROADCAST", 5)
+    for a, b in zip(whole, mixed(spark, docs, targets), strict=True):
+        a, b = (x.reset_index().sort_values(list(x.reset_index().columns[:2])).reset_index(drop=True) for x in (a, b))
+        assert a.equals(b[a.columns])
+    assert len(whole[1]) == 50 and (whole[1]["actual_share"] > 0).sum() == 40
+
+
 def test_mix_edges(spark):
     assert len(mixed(spark, [], [("a", 1.0, 1)])[0]) == 0
     assert len(mixed(spark, [("w", "a")], [])[0]) == 0
