@@ -114,7 +114,10 @@ def distinctive(said: DataFrame) -> DataFrame:
 
     A name's distinctive word is its rarest, if it stands in two names at least.
     """
-    counted = cut(said.where(F.length("word") > 1).join(said.groupBy("word").agg(F.count("*").alias("n")), "word"))
+    # a word that a third of all names hold is spread over salts
+    times = said.groupBy("word").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = said.where(F.length("word") > 1).withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+    counted = cut(salted.join(times, ["word", "salt"]).drop("salt"))
     rarest = counted.groupBy("name").agg(F.min(F.struct("n", -F.length("word"), "word")).alias("v")).where(F.col("v.n") > 1).select("name", F.col("v.word").alias("head"))
     return cut(counted.join(rarest, "name").where(F.col("word") != F.col("head")).select("word", "head").distinct())
 
@@ -282,10 +285,10 @@ def resolved_names(objects: DataFrame, mentions: DataFrame, short: dict[str, str
     plain_names = cut(own.select("name", F.when(F.col("met"), F.col("given")).otherwise(F.coalesce("entity", alone)).alias("entity")).where(F.col("entity").isNotNull()))
 
     # aliases: what an alias reads as, unless that is an object's name already, is the entity of its bearer
-    bearer = aliases.join(plain_names.select("name", F.col("entity").alias("bearer")), "name").select(F.col("alias").alias("name"), "bearer")
+    bearer = aliases.join(plain_names.select("name", F.col("entity").alias("bearer")), "name").groupBy(F.col("alias").alias("name")).agg(F.min("bearer").alias("bearer"), F.max("bearer").alias("last"))
     objects_of = cut(plain_names.join(named.select("name").distinct(), "name", "left_semi").select("entity").distinct())
     loose = bearer.join(plain_names, "name").join(objects_of, "entity", "left_anti")
-    sole = loose.groupBy("entity").agg(F.min("bearer").alias("bearer"), F.max("bearer").alias("last")).where(F.col("bearer") == F.col("last")).drop("last")
+    sole = loose.groupBy("entity").agg(F.min("bearer").alias("bearer"), F.max("last").alias("last")).where(F.col("bearer") == F.col("last")).drop("last")
     return plain_names.join(sole, "entity", "left").select("name", F.coalesce("bearer", "entity").alias("entity"))
 
 
