@@ -315,7 +315,7 @@ class Memory:
         return self._rows("provenance", F.col("assertion_id") == assertion_id)
 
     def entry_points(self, query: str, kind: str = "essence_nl") -> DataFrame:
-        return retrieval.entry_points(self.store.table("representations").where(F.col("type") == kind), "id", query)
+        return retrieval.entry_points(self.store.table("representations").where(F.col("type") == kind), "id", query, "_first_seq")
 
     def knowledge(self, query: str, tenant_id: str = "default") -> dict[str, DataFrame]:
         claims = retrieval.matching_claims(self.store.table("claims").where(access.in_tenant(tenant_id)), query)

@@ -29,17 +29,18 @@ def represent(texts: DataFrame, key: str, text: str, kind: str = "essence_nl") -
     return rows.select(key, F.lit(kind).alias("type"), essence.alias("content"), F.size(words(essence)).alias("token_count"), F.array(F.lit("topic"), F.lit("decision")).alias("semantic_classes"))
 
 
-def entry_points(representations: DataFrame, key: str, query: str) -> DataFrame:
-    """(key, score, matched, explanation) of the representations sharing tokens with ``query``, best first.
+def entry_points(representations: DataFrame, key: str, query: str, order: str | None = None) -> DataFrame:
+    """(key, score, matched, explanation) of the representations sharing tokens with ``query``, best first, equal ones
+    in ``order``, a column, or by key.
 
     The score is the share of the query's tokens, repeats counting, found in the content.
     """
     asked = query_tokens(query)
     # bound inside a transform, so that a content is split once and not once a token of the query
     bound = F.transform(F.array(tokens(F.coalesce("content", F.lit("")))), lambda t: F.struct(*[c.alias(n) for c, n in zip(overlap(asked, t), ("score", "hits"), strict=True)]))
-    rows = representations.select(key, F.inline(bound))
+    rows = representations.select(key, F.col(order or key).alias("__order"), F.inline(bound))
     text = F.format_string("%s (score=%.2f): matched: %s", F.col(key).cast("string"), "score", F.array_join("hits", ", "))
-    return rows.where(F.col("score") > 0).select(key, "score", F.array_join("hits", ", ").alias("matched"), text.alias("explanation")).orderBy(F.col("score").desc(), key)
+    return rows.where(F.col("score") > 0).select(key, "score", F.array_join("hits", ", ").alias("matched"), text.alias("explanation"), "__order").orderBy(F.col("score").desc(), "__order").drop("__order")
 
 
 def inverted_index(representations: DataFrame, key: str) -> DataFrame:

@@ -178,6 +178,10 @@ def test_entry_points_and_keywords(filled):
     filled.represent("ev:e2", "migration caused outage in june")
     got = filled.entry_points("PostgreSQL database").collect()
     assert [(round(r["score"], 2), r["matched"]) for r in got] == [(0.67, "postgre, sql")]
+    filled.represent("ev:e3", "a database of PostgreSQL kind indeed here", "summary")
+    for e in ("ev:e2", "ev:e1"):
+        filled.represent(e, "postgresql", "embedding")
+    assert [r["id"] for r in filled.entry_points("postgresql", "embedding").collect()] == [f"rep:embedding:{filled.store.last_sequence() - 1}", f"rep:embedding:{filled.store.last_sequence()}"]
     found = filled.knowledge("what supersedes the primary caused outage")
     assert found["relationships"].count() == 1 and found["claims"].count() == 2 and found["objects"].count() == 3
     assert filled.knowledge("caused_by")["relationships"].count() == 0  # a type with _ never matches
