@@ -7,7 +7,6 @@ model is trained twice: the second time on the sentences whose label the first m
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 import zlib
@@ -308,18 +307,6 @@ def fit(sample: pd.DataFrame, sentences_used: int = SENTENCES, accepted_error: f
     return model
 
 
-_FITTED: dict[str, LanguageModel | None] = {}
-
-
-def fitted(sample: pd.DataFrame) -> LanguageModel | None:
-    """``fit``, kept for the last sample: two queries over the same documents train once."""
-    key = hashlib.sha256(pd.util.hash_pandas_object(sample, index=False).to_numpy().tobytes()).hexdigest()
-    if key not in _FITTED:
-        _FITTED.clear()
-        _FITTED[key] = fit(sample)
-    return _FITTED[key]
-
-
 def _path(logp: np.ndarray, switch: float) -> np.ndarray:
     """The most likely languages of successive sentences when each change costs ``switch``."""
     n, k = logp.shape
