@@ -30,13 +30,19 @@ RELATION_PATTERNS = {
 }
 # Texts without these hold no match, and need no search.
 _NEEDS = (r"(?i)we chose|we selected|decision:", r"(?i)\s(is|are)\s", r"(?i)has\s+role")
+# The only places where a pattern can begin, so that each run of characters is gone through once and not
+# once from each of its letters. What begins with a line's ``.+?`` begins where the line does or the match before ended;
+# what begins with a letter and ``[\w\s-]+?``, at the first letter of such a run or after the match before.
+_RUN = r"(?:(?<![\w\s-])|\G)[\d_\s-]*+"
+_AT = ("", _RUN, _RUN)
+_LINE = r"(?:^|\G)"
 #: Matches after which a pattern stops; each pattern still gives its first.
 CAP = 10
 
 
-def _matches(text: Column, pattern: str, needs: str) -> Column:
+def _matches(text: Column, pattern: str, needs: str, at: str = "") -> Column:
     # the whole match once; its parts are read from it, not from the text again
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(f"(?m){at}({pattern})"), F.lit(1))
 
     def part(m: Column, group: int) -> Column:
         return F.regexp_replace(F.regexp_extract(m, pattern, group), r"^\s+|\s+$", "")
@@ -71,7 +77,7 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     each giving one at least if it has one.
     """
     rows = texts.select(key, lines(F.col(text)).alias("t"))
-    staged = rows.select(key, *[_matches(F.col("t"), p, n).alias(f"m{i}") for i, (p, n) in enumerate(zip(CLAIM_PATTERNS, _NEEDS, strict=True))])
+    staged = rows.select(key, *[_matches(F.col("t"), p, n, at).alias(f"m{i}") for i, (p, n, at) in enumerate(zip(CLAIM_PATTERNS, _NEEDS, _AT, strict=True))])
     parts = _capped([F.col(f"m{i}") for i in range(len(CLAIM_PATTERNS))])
     flat = F.flatten(F.array(*[_labelled(x, "pattern_no", n) for n, x in enumerate(parts)]))
     found = staged.select(key, F.explode(flat).alias("v"))
@@ -83,7 +89,7 @@ def extract_relationships(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, source_name, relation_type, target_name, confidence, basis), as ``extract_claims``."""
     rows = texts.select(key, lines(F.col(text)).alias("t"))
     needs = {k: "(?i)" + k.replace("_", r"\s+") for k in RELATION_PATTERNS}
-    staged = rows.select(key, *[F.filter(_matches(F.col("t"), p, needs[k]), lambda v: (v["a"] != "") & (v["b"] != "")).alias(k) for k, p in RELATION_PATTERNS.items()])
+    staged = rows.select(key, *[F.filter(_matches(F.col("t"), p, needs[k], _LINE), lambda v: (v["a"] != "") & (v["b"] != "")).alias(k) for k, p in RELATION_PATTERNS.items()])
     parts = _capped([F.col(k) for k in RELATION_PATTERNS])
     flat = F.flatten(F.array(*[_labelled(x, "relation_type", k) for k, x in zip(RELATION_PATTERNS, parts, strict=True)]))
     found = staged.select(key, F.explode(flat).alias("v"))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,8 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _held(spark: SparkSession, leaf: JavaObject) -> int:
+    """Bytes of a plan's leaf: a checkpoint's files as they lie there, else Spark's estimate; 0 where it has none."""
+    if leaf.nodeName() == "LogicalRDD" and (written := leaf.rdd().getCheckpointFile()).isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.get())
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    size = int(str(leaf.stats().sizeInBytes()))
+    return size if size < spark._jsparkSession.sessionState().conf().defaultSizeInBytes() else 0
+
+
 def partitions(rows: DataFrame, each: int = 256 << 20) -> int:
     """How many ranges to cut ``rows`` into: as many as the session shuffles to, more where the input is larger than
-    ``each`` bytes a range, by the plan's own estimate."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(size // each, 1_000_000))
+    ``each`` bytes a range: by the plan's own estimate, and no more than all its leaves hold. The estimate of a join is
+    the product of its sides, and a checkpoint carries it on."""
+    spark, plan = rows.sparkSession, rows._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(str(plan.stats().sizeInBytes())), sum(_held(spark, leaves.apply(i)) for i in range(leaves.size())))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size // each, 1_000_000))

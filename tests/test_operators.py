@@ -1,11 +1,15 @@
 """Single operators on small inputs: edge cases, order, ties."""
 
 import math
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from mnemora.functions import text
 from mnemora.operators import access, extraction, graph, identity, mutations, retrieval
 from mnemora.operators.sequence import lagged, numbered
+from mnemora.session import cut, partitions
 from mnemora.sources.files import classify, evidence_of
 
 
@@ -59,6 +63,37 @@ def test_extraction_caps(spark):
     assert rels == {("caused_by", "X", "Y"), ("depends_on", "Z", "W")}
 
 
+def test_patterns_begin_where_they_always_did(spark):
+    odd = ["", "is", " is ", "are", "has role", "\n", ".", ".\n", ",", "-", "7", "_", "\t", "é", "ж", "\u2028", "A", "Foo bar", "we chose ", " as ", " supersedes ", "\ncaused by ", " depends  on ", " contradicts "]
+    dice = random.Random(3)
+    df = spark.createDataFrame([("".join(dice.choices(odd, k=i % 40)),) for i in range(4_000)], "t string")
+    for p, at in [*zip(extraction.CLAIM_PATTERNS, extraction._AT, strict=True), *((p, extraction._LINE) for p in extraction.RELATION_PATTERNS.values())]:
+        kept = F.transform(extraction._matches(F.col("t"), p, "", at), lambda m: m["basis"])
+        plain = F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)), lambda m: F.concat(F.lit("Pattern match: "), F.substring(m, 1, 50)))
+        n = df.select(kept.alias("a"), plain.alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("differ"), F.sum(F.size("a")).alias("found")).first()
+        assert n["differ"] == 0 and n["found"] > 100
+
+
+def test_extraction_goes_through_a_long_line_once(spark):
+    long = "we go on " * 30_000
+    df = spark.createDataFrame([(1, f"{long}, sky is blue.\nX caused by Y.\n{long}(a) Bob has role boss.")], "k long, t string")
+    began = time.time()
+    claims = {(r["subject_name"], r["object_or_value"]) for r in extraction.extract_claims(df, "k", "t").collect()}
+    rels = {(r["relation_type"], r["source_name"], r["target_name"]) for r in extraction.extract_relationships(df, "k", "t").collect()}
+    assert claims == {("sky", "blue"), ("Bob", "boss")} and rels == {("caused_by", "X", "Y")}
+    assert time.time() - began < 60  # each letter of the line used to be a start from which the rest of it was read
+
+
+def test_ranges_go_by_what_is_read(spark, tmp_path):
+    spark.range(100_000).selectExpr("id", "concat('text ', id) AS t").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    joined = rows.join(rows.withColumnRenamed("t", "u"), "id")
+    assert partitions(joined) == partitions(cut(joined).where("id >= 0")) == 4
+    assert 4 < partitions(rows, 100_000) < 50  # a large input is still cut further
+    ranged = numbered(joined, ["id"], "n")
+    assert ranged.rdd.getNumPartitions() <= 4 and ranged.agg(F.max("n")).first()[0] == 100_000
+
+
 def test_model_answers(spark):
     inner = '{"claims":[{"subjectName":" A ","predicate":"has_role","objectOrValue":"x","confidence":0.4},{"subjectName":"","predicate":"has_role"},{"subjectName":"B","predicate":"odd"}],"relationships":[{"sourceName":"A","relationType":"supersedes","targetName":"B","confidence":1.5},{"sourceName":"A","relationType":"odd","targetName":"B"}]}'
     import json
